@@ -76,7 +76,7 @@ def _role(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
     out = tag in OUT or hidden or (bool(parts & OUT_WORDS) and tag not in ("html", "body", "article", "main"))
     article = tag in ("article", "main") or any((n in ("role", "itemprop") and w in ARTICLE_WORDS) for n, w in words)
     head = tag == "header" or (bool(parts & HEAD_WORDS) and tag in ("div", "section"))
-    return ".".join([tag, *sorted(w for n, w in words if n in ("class", "role", "itemprop"))]), out, head, article
+    return ".".join([tag, *sorted(w for n, w in words if not any(c.isdigit() for c in w))]), out, head, article
 
 
 class Page:

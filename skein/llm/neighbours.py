@@ -166,7 +166,6 @@ def _exact(found: DataFrame, reps: DataFrame, limit: float) -> tuple[DataFrame,
     placed = found.join(sizes, "component").join(reps.select(F.col("id").alias("node"), "unit", "weight"), "node")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = placed.select("component", "block", "node", "unit", "weight", other)
     # small components share calls: `pack` is the component itself where it has several blocks
     many = F.col("blocks") > 1
     rows = placed.select("component", "block", "node", "unit", "weight", "blocks", other).select(F.when(many, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(4096))).alias("pack"), F.when(many, F.least("block", "other")).otherwise(F.lit(-1)).alias("lo"), F.greatest("block", "other").alias("hi"), "component", "block", "node", "unit", "weight")
@@ -234,7 +233,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     good = all_rows.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
     classes = good.groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight"))
     members = written(good.select("id", "key").join(classes, "key").select("id", "rep", "weight").distinct(), "members")
-    reps = good.join(classes, (good["key"] == classes["key"]) & (good["id"] == classes["rep"])).select("id", good["key"], "dim", "unit", "weight").dropDuplicates(["id"])
+    reps = good.join(classes.withColumnRenamed("rep", "id"), ["key", "id"]).select("id", "dim", "unit", "weight").dropDuplicates(["id"])
     reps = written(reps, "reps")
     n = reps.count()
     graph, k = None, neighbours

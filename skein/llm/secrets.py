@@ -36,15 +36,17 @@ LEDGER = f"blob string, rule_version string, findings {FINDINGS}"
 MOST_BROADCAST, KEY_BYTES = 8 << 20, 96
 
 
+def _passes(head: str | None, least: int):
+    """Whether a match, without what head matches of it, has the least length. (A lambda's second parameter would be an index.)"""
+    return lambda s: F.length(F.regexp_replace(s["m"], head, "") if head else s["m"]) >= least
+
+
 def scan_text(text: Column) -> Column:
     """Findings of all rules in a text, ordered by start and then rule."""
     found = []
     for k, (kind, pattern, there, least) in enumerate(RULES):
         spans = find(text, pattern, text.rlike(there))
-        if kind == "assign":
-            spans = F.filter(spans, lambda s, least=least: F.length(F.regexp_replace(s["m"], "^" + _ASSIGN, "")) >= least)
-        else:
-            spans = F.filter(spans, lambda s, least=least: F.length(s["m"]) >= least)
+        spans = F.filter(spans, _passes("^" + _ASSIGN if kind == "assign" else None, least))
         found.append(F.transform(of_kind(spans, kind, k), lambda s: F.struct(s["start"], s["k"], s["kind"], s["end"])))
     return F.array_sort(F.concat(*found))
 
@@ -84,7 +86,7 @@ def secret_digests(docs: DataFrame, ledger: str | None = None) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", ledger: str | None = None) -> DataFrame:
     """docs with each secret in its text masked; a column n_chars follows the text."""
     spark = docs.sparkSession
-    blob, found = free_name(docs, "blob"), free_name(docs, "findings")
+    blob, found = free_name(docs, "version_blob"), free_name(docs, "version_findings")
     keyed = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     hits = scan_versions(keyed, ledger or new_path(spark, "ledger"), (blob,), text).filter(F.size("findings") > 0)
     hits = written(hits.select(F.col(blob), F.col("findings").alias(found)).dropDuplicates([blob]), "hits")
