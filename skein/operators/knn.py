@@ -125,9 +125,12 @@ def _search(refs: DataFrame, asked: DataFrame, boxes: DataFrame, k: int, columns
         a, b = _stack([q[f"c{i}"].to_numpy() for i in width]), _stack([r[f"c{i}"].to_numpy() for i in width])
         return pa.Table.from_batches([_batch(*_best(q["query_id"].to_numpy(), a, r["ref_id"].to_numpy(), b, r["label"].to_numpy(), k))])
 
-    named = lambda df, *keys: df.select("part_key", "block", *keys, *(F.col(c).cast("int").alias(f"c{i}") for i, c in enumerate(columns)))
-    l, r = named(left, "ref_id", F.col("label").cast("int").alias("label")), named(right, "query_id")
-    return l.groupBy("part_key", "block").cogroup(r.groupBy("part_key", "block")).applyInArrow(lambda x, y: search(x, y), OUT)
+    # both sides may come from one table: new names on each keep the grouping keys apart
+    def side(df: DataFrame, mark: str, *keys):
+        return df.select(F.col("part_key").alias(f"{mark}_key"), F.col("block").alias(f"{mark}_block"), *keys, *(F.col(c).cast("int").alias(f"c{i}") for i, c in enumerate(columns))).groupBy(f"{mark}_key", f"{mark}_block")
+
+    found = side(left, "r", "ref_id", F.col("label").cast("int").alias("label"))
+    return found.cogroup(side(right, "q", "query_id")).applyInArrow(lambda x, y: search(x, y), OUT)
 
 
 def pruned(refs: DataFrame, queries: DataFrame, boxes: DataFrame, k: int = S.NEIGHBOURS, columns: list[str] = S.Q) -> DataFrame:

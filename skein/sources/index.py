@@ -22,8 +22,9 @@ def quantized(rows: DataFrame, vector: str = "vector", kind: str = "float") -> D
 
 def write_index(refs: DataFrame, path: str) -> None:
     """refs: ref_id, label, q0..q13, part_key. An empty set of references is an error."""
-    refs.select("ref_id", "label", *S.Q, "part_key").write.partitionBy("part_key").mode("overwrite").parquet(f"{path}/refs")
-    stored = refs.sparkSession.read.parquet(f"{path}/refs")
+    rows = refs.select("ref_id", "label", *S.Q, "part_key")
+    rows.write.partitionBy("part_key").mode("overwrite").parquet(f"{path}/refs")
+    stored = refs.sparkSession.read.schema(rows.schema).parquet(f"{path}/refs")
     n = stored.count()
     if not n:
         raise ValueError("an index needs references")
