@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from skein import schemas as S
 from skein.functions import vectors as V
+from skein.shipping import ship
 
 #: Query bytes sent to all tasks at once; queries in one distance matrix; references in one block.
 MOST_BROADCAST, QUERY_ROWS, BLOCK_ROWS = 32 << 20, 128, 1 << 15
@@ -80,6 +81,7 @@ def _batch(qid, rid, d, label) -> pa.RecordBatch:
 
 def matrix(refs: DataFrame, queries: DataFrame, k: int = S.NEIGHBOURS, columns: list[str] = S.Q) -> DataFrame:
     """Each block of queries is one pass over the references; what a pass sends to tasks is bounded."""
+    ship(refs.sparkSession)
     rows = queries.select("query_id", *(F.col(c).cast("int") for c in columns))
     n, most = rows.count(), max(1, MOST_BROADCAST // (8 * (1 + len(columns))))
     passes = max(1, -(-n // most))
@@ -114,6 +116,7 @@ def matrix(refs: DataFrame, queries: DataFrame, k: int = S.NEIGHBOURS, columns:
 
 def _search(refs: DataFrame, asked: DataFrame, boxes: DataFrame, k: int, columns: list[str]) -> DataFrame:
     """asked: query_id, part_key, columns. The k nearest of each query in each block of the asked partitions."""
+    ship(refs.sparkSession)
     blocks = boxes.select("part_key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     left = refs.join(F.broadcast(blocks), "part_key").withColumn("block", F.pmod(F.xxhash64("ref_id"), F.col("blocks")).cast("int"))
     right = asked.join(F.broadcast(blocks), "part_key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
