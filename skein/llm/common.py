@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein import shipping
+
 #: Arrow batches end at this many bytes, so that very long texts do not add up.
 BATCH_BYTES = 16 << 20
-_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,18 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors, and bound Arrow batches by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or not root.is_dir():
-        return
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    to = os.path.join(tempfile.mkdtemp(prefix="skein-"), "skein_code.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted((root / "skein").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    spark.sparkContext.addPyFile(to)
-    _shipped.add(app)
+    shipping.ship(spark)
 
 
 def raw(texts: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -81,22 +68,9 @@ class WordHash(dict):
         return found
 
 
-def has_column(df: DataFrame, name: str) -> bool:
-    return name in df.columns
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have, so that extra columns cannot clash."""
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-def rows_bytes(df: DataFrame, *columns: str) -> int:
-    """The summed octets of some columns: a broadcast is only made below a limit on this."""
-    total = None
-    for c in columns:
-        x = F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("long")
-        total = x if total is None else total + x
-    return df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
