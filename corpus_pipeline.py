@@ -6,7 +6,7 @@ return the columns of `documents`.
 
 - quality_rules drops documents that the rules reject.
 - language_id drops documents whose language is not known with calibrated confidence. The model
-  learns from the labelled rows of the whole documents table.
+  learns from a bounded sample of its input's labelled rows.
 - minhash_near_dedup keeps the least id of each group at five words and a similarity of 0.8.
 - secret_scan masks the secrets found; no document goes.
 - best_fit_packing packs what is left into sequences of at most 4096 ids.
