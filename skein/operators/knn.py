@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from skein import schemas as S
 from skein.functions import vectors as V
 from skein.shipping import ship
+from skein.store import stored
 
 #: Query bytes sent to all tasks at once; queries in one distance matrix; references in one block.
 MOST_BROADCAST, QUERY_ROWS, BLOCK_ROWS = 32 << 20, 128, 1 << 15
@@ -139,7 +140,8 @@ def _search(refs: DataFrame, asked: DataFrame, boxes: DataFrame, k: int, columns
 def pruned(refs: DataFrame, queries: DataFrame, boxes: DataFrame, k: int = S.NEIGHBOURS, columns: list[str] = S.Q) -> DataFrame:
     """boxes: what `index.bounds` gives for refs."""
     asked = queries.select("query_id", "part_key", *columns)
-    own = _search(refs, asked, boxes, k, columns)
+    boxes = refs.sparkSession.createDataFrame(boxes.collect(), boxes.schema)  # 256 rows at most, read five times below
+    own = stored(_search(refs, asked, boxes, k, columns), "own")
     limit = own.groupBy("query_id").agg(F.count("*").alias("found"), F.array_sort(F.collect_list("d")).alias("ds"))
     limit = limit.filter(F.col("found") >= k).select("query_id", F.col("ds")[k - 1].alias("worst"))
     bound = V.box_bound([F.col(c) for c in columns], [F.col(f"lo{i}") for i in range(len(columns))], [F.col(f"hi{i}") for i in range(len(columns))])

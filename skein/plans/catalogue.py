@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,25 +14,13 @@ from skein.functions import vectors as V
 from skein.operators import knn, ranks
 from skein.plans.transactions import as_queries, as_references, payloads, read, transactions, vectors
 from skein.sources import index, ingest
+from skein.store import shared, stored
 from skein.streaming import score as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 LO, HI = [f"lo{i}" for i in range(S.DIM)], [f"hi{i}" for i in range(S.DIM)]
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new path that driver and executors share: in the checkpoint folder, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read back, where two branches of a plan would compute it twice."""
-    path = shared(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def quantized(spark: SparkSession, d: str, kind: str = "float", signed: bool = False) -> DataFrame:
     return vectors(transactions(spark, d), ["id", "label"], kind, signed)
 
