@@ -17,8 +17,8 @@ from skein.llm.common import WordHash, free_name, raw, ship
 
 #: n-gram length and the largest share of characters in repeated n-grams that is kept.
 LIMITS = ((2, 0.95), (3, 0.85), (5, 0.20), (7, 0.20), (10, 0.20))
-#: The largest share of characters in duplicated lines that is kept, and of symbols among characters.
-LINE_LIMIT, SYMBOL_LIMIT = 0.30, 0.10
+#: The largest share of characters in duplicated lines that is kept, and of symbols among characters: tables with bars have a ninth, symbol junk over a third.
+LINE_LIMIT, SYMBOL_LIMIT = 0.30, 0.25
 MIN_WORDS, BASE_N, BASE_PERCENT = 10, 5, 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SYMBOLS = bytes(b"#*$%&|<>")
