@@ -140,7 +140,7 @@ def _search(refs: DataFrame, asked: DataFrame, boxes: DataFrame, k: int, columns
 def pruned(refs: DataFrame, queries: DataFrame, boxes: DataFrame, k: int = S.NEIGHBOURS, columns: list[str] = S.Q) -> DataFrame:
     """boxes: what `index.bounds` gives for refs."""
     asked = queries.select("query_id", "part_key", *columns)
-    boxes = refs.sparkSession.createDataFrame(boxes.collect(), boxes.schema)  # 256 rows at most, read five times below
+    boxes = refs.sparkSession.createDataFrame(boxes.toArrow())  # 256 rows at most, read five times below
     own = stored(_search(refs, asked, boxes, k, columns), "own")
     limit = own.groupBy("query_id").agg(F.count("*").alias("found"), F.array_sort(F.collect_list("d")).alias("ds"))
     limit = limit.filter(F.col("found") >= k).select("query_id", F.col("ds")[k - 1].alias("worst"))
