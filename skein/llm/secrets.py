@@ -23,8 +23,9 @@ _ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?
 #: Kind, pattern, a test that any match passes, and what a match must pass.
 RULES = (
     ("assign", _ASSIGN + r"[A-Za-z0-9+/_.=-]+", r"(?i)password|passwd|secret|token|api_?key", 12),
-    ("access", r"AKIA[A-Z0-9]+", "AKIA", 18),
-    ("hex", r"[0-9a-f]+", r"[0-9a-f]{16}", 16),
+    # A run too short has no longer one within it, so these two ask for the length at once: short runs are nearly every word.
+    ("access", r"AKIA[A-Z0-9]{14,}", "AKIA", 18),
+    ("hex", r"[0-9a-f]{16,}", r"[0-9a-f]{16}", 16),
     ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "PRIVATE KEY-----", 1),
     ("github", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,255}(?![A-Za-z0-9])", "gh[pousr]_", 1),
     ("jwt", r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{10,2000}\.eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,2000}", r"eyJ.*\.eyJ", 1),
@@ -59,8 +60,10 @@ def scan_versions(versions: DataFrame, ledger: str, keys: tuple[str, ...] = ("do
     rows = written(rows, "versions")
     names = [f"k{i}" for i in range(len(keys))]
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
-    old = spark.read.schema(LEDGER).parquet(ledger) if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there) else spark.createDataFrame([], LEDGER)
-    seen = old.filter(F.col("rule_version") == rule_version).select("blob").distinct()
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        seen = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rule_version") == rule_version).select("blob").distinct()
+    else:
+        seen = rows.select("blob").filter(F.lit(False))
     # the version that stands for its blob is the one with the lowest hash of its keys: no text is needed to choose it
     place = F.xxhash64(*names)
     chosen = rows.groupBy("blob").agg(F.min(place).alias("at"))
