@@ -155,3 +155,18 @@ def frauds(queries: DataFrame, found: DataFrame) -> DataFrame:
     """query_id and fraud_count of all queries, also of those with no neighbour."""
     count = found.groupBy("query_id").agg(F.sum("label").cast("bigint").alias("fraud_count"))
     return queries.select("query_id").join(count, "query_id", "left").select("query_id", F.coalesce("fraud_count", F.lit(0)).cast("bigint").alias("fraud_count"))
+
+
+def none(queries: DataFrame) -> DataFrame:
+    """The search that finds nothing."""
+    empty = queries.select(F.col("query_id").cast("bigint").alias("query_id")).filter(F.lit(False))
+    return empty.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("ref_id"), F.lit(0).cast("bigint").alias("d"), F.lit(0).alias("label"))
+
+
+def search(refs: DataFrame, queries: DataFrame, boxes: DataFrame | None = None, mode: str = "exact", k: int = S.NEIGHBOURS) -> DataFrame:
+    """By mode: exact, fast and probe are one exact search (with boxes the pruned plan, else matrices); null finds nothing."""
+    if mode == "null":
+        return none(queries)
+    if mode not in ("exact", "fast", "probe"):
+        raise ValueError(f"no search mode {mode}")
+    return matrix(refs, queries, k) if boxes is None else pruned(refs, queries, boxes, k)

@@ -192,9 +192,8 @@ def fraud_decision_json(spark: SparkSession, d: str) -> DataFrame:
 def null_search(spark: SparkSession, d: str) -> DataFrame:
     """The search mode that finds nothing: all are approved."""
     queries = as_queries(transactions(spark, d).select("id"))
-    none = spark.createDataFrame([], "query_id bigint, ref_id bigint, d bigint, label int")
     n = F.col("fraud_count")
-    return knn.frauds(queries, none).select("query_id", scoring.score(n).alias("fraud_score"), scoring.approved(n).alias("approved"))
+    return knn.frauds(queries, knn.search(queries, queries, mode="null")).select("query_id", scoring.score(n).alias("fraud_score"), scoring.approved(n).alias("approved"))
 
 
 def outcomes(spark: SparkSession, d: str) -> DataFrame:

@@ -167,6 +167,15 @@ def test_blocks_of_queries_and_references(spark, monkeypatch):
         knn.brute(refs, queries)
 
 
+def test_search_modes(spark):
+    refs, one = as_table(spark, [(i, 1, vec(i)) for i in range(6)], "ref_id"), as_table(spark, [(7, 0, vec())], "query_id")
+    exact = sorted(map(tuple, knn.search(refs, one).collect()))
+    assert exact == sorted(map(tuple, knn.search(refs, one, index.bounds(refs), "probe").collect())) and len(exact) == 5
+    assert knn.search(refs, one, mode="null").count() == 0
+    with pytest.raises(ValueError):
+        knn.search(refs, one, mode="other")
+
+
 def test_index_round_trip_and_checks(spark, tmp_path):
     refs = as_table(spark, [(i, i % 2, vec(i, i)) for i in range(20)], "ref_id")
     index.write_index(refs, f"{tmp_path}/i")
