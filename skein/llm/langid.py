@@ -3,7 +3,7 @@
 A word in angle marks gives its whole form and its character n-grams; each is hashed to a row of an
 embedding table. A text is the average of its subwords' rows, a linear softmax on it gives the
 languages. Both are trained by stochastic gradient descent in numpy, on a bounded sample of whole
-labelled texts (`sample` rows, the lowest by a hash of id, the bound is a parameter). A temperature
+labelled texts (about `sample` rows by a hash, the bound is a parameter). A temperature
 and a rejection threshold are set on a part of the sample that training did not see.
 
 As the model is linear, a word's share of the logits is a fixed vector: workers keep it by word.
@@ -24,6 +24,8 @@ from skein.llm.common import free_name, raw, ship
 SAMPLE, BUCKETS, DIM, LENGTHS, EPOCHS = 3000, 1 << 15, 16, (1, 2, 3, 4), 4
 #: Texts are learned in stretches of so many words, so that short texts are known as well as long ones.
 STRETCH = 24
+#: Stretches that training looks at, at most.
+STRETCHES = 48_000
 _STRIP = b".,;:!?\"'()[]{}<>|*#$%&+-=_/\\@^~`0123456789"
 
 
@@ -32,10 +34,31 @@ def normal(text: bytes) -> list[bytes]:
     return [w for x in text.decode().lower().encode().split() if (w := x.strip(_STRIP))]
 
 
-def subwords(word: bytes, buckets: int) -> np.ndarray:
+class Grams(dict):
+    """Row of a subword; short ones are few and come again in nearly every word. Forgets all at `most` of them."""
+
+    def __init__(self, buckets: int, most: int = 400_000):
+        super().__init__()
+        self.buckets, self.most = buckets, most
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[gram] = xxhash.xxh3_64_intdigest(gram.encode()) % self.buckets
+        return found
+
+
+def subwords(word: bytes, rows: Grams) -> np.ndarray:
+    """Rows of the different subwords of a word, in a fixed order."""
     s = f"<{word.decode()}>"[:64]
-    grams = {s, *(s[i : i + n] for n in LENGTHS for i in range(len(s) - n + 1))} - {"<", ">"}
-    return np.array(sorted(xxhash.xxh3_64_intdigest(g.encode()) % buckets for g in grams), dtype=np.int64)
+    n = len(s)
+    grams = dict.fromkeys([s[i : i + k] for k in LENGTHS for i in range(n - k + 1)])
+    grams.pop("<", None)
+    grams.pop(">", None)
+    out = [rows[g] for g in grams]
+    if s not in grams:
+        out.append(xxhash.xxh3_64_intdigest(s.encode()) % rows.buckets)
+    return np.array(out, dtype=np.int64)
 
 
 class Model:
@@ -44,6 +67,7 @@ class Model:
     def __init__(self, labels: list[str], table: np.ndarray, out: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
         self.labels, self.table, self.out, self.bias, self.temperature, self.threshold = labels, table, out, bias, temperature, threshold
         self.words: dict[bytes, int] = {}
+        self.grams = Grams(len(table))
         self.room = np.empty((0, len(labels) + 1), dtype=np.float32)
 
     def __getstate__(self):
@@ -66,7 +90,7 @@ class Model:
                 self.room = grown
             folded = self.folded()
             for w in new:
-                g = subwords(w, len(self.table))
+                g = subwords(w, self.grams)
                 self.room[len(known), :-1] = folded[g].sum(0)
                 self.room[len(known), -1] = len(g)
                 known[w] = len(known)
@@ -108,6 +132,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, buckets: int = BUCK
         return Model([], np.zeros((1, dim)), np.zeros((dim, 0)), np.zeros(0))
     rng = np.random.default_rng(seed)
     grams: dict[bytes, np.ndarray] = {}
+    rows = Grams(buckets)
     fit, held = [], []
     for i, (t, y) in enumerate(zip(texts, langs, strict=True)):
         words = normal(t.encode())
@@ -120,11 +145,11 @@ def train(texts: list[str], langs: list[str], seed: int = 7, buckets: int = BUCK
     def ids(words: list[bytes]) -> np.ndarray:
         for w in words:
             if w not in grams:
-                grams[w] = subwords(w, buckets)
+                grams[w] = subwords(w, rows)
         return np.concatenate([grams[w] for w in words]) if words else np.empty(0, np.int64)
 
     size = 64
-    budget = max(1, min(epochs * len(fit), 80_000) // size)  # steps, whatever the sample's length
+    budget = max(1, min(epochs * len(fit), STRETCHES) // size)  # steps, whatever the sample's length
     for step in range(budget):
         batch = [fit[j] for j in rng.integers(0, len(fit), size)] if fit else []
         parts = [(g, k) for words, k in batch if len(g := ids(words))]
@@ -141,7 +166,9 @@ def train(texts: list[str], langs: list[str], seed: int = 7, buckets: int = BUCK
         back = p @ out.T
         out -= now * hidden.T @ p / len(parts) * 8
         bias -= now * p.mean(0)
-        np.subtract.at(table, flat, np.repeat(now * back / sizes[:, None], sizes, axis=0) * 8)
+        step_by = np.repeat(now * 8 * back / sizes[:, None], sizes, axis=0)
+        for j in range(dim):
+            table[:, j] -= np.bincount(flat, weights=step_by[:, j], minlength=buckets)
     model = Model(labels, table, out, bias)
     check = [(z, k) for words, k in held if (z := model.logits(b" ".join(words))) is not None]
     if check:
@@ -163,10 +190,17 @@ def train(texts: list[str], langs: list[str], seed: int = 7, buckets: int = BUCK
 
 
 def fit_language_model(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample: int = SAMPLE, **options) -> Model:
-    """Train on the `sample` labelled rows with the lowest hash of `order`: that many rows reach the driver, no more."""
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(order).alias("_o"), F.col(text).alias("_t"), F.col(lang).alias("_l"))
-    rows = rows.orderBy(F.xxhash64("_o"), "_o", "_t").limit(sample).collect()
-    return train([r["_t"] for r in rows], [r["_l"] for r in rows], **options)
+    """Train on the labelled rows whose hash of `order`, text and language lies in the share of all hashes that holds `sample` of them.
+
+    About that many rows reach the driver, twice as many at most; equal rows count once. Tasks
+    filter by themselves, so nothing else is sent, however many tasks there are.
+    """
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("_t"), F.col(lang).alias("_l"), F.pmod(F.xxhash64(order, text, lang), F.lit(1 << 40)).alias("_h"))
+    n = rows.count()
+    if n > sample:
+        rows = rows.filter(F.col("_h") < int((1 << 40) * sample / n))
+    found = sorted(rows.dropDuplicates(["_h"]).limit(2 * sample).collect(), key=lambda r: (r["_h"], r["_t"]))
+    return train([r["_t"] for r in found], [r["_l"] for r in found], **options)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
