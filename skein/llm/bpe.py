@@ -23,24 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import raw, ship
-from skein.llm.tokens import vocabulary
+from skein.llm.tokens import byte_letters, vocabulary
 
 NO_RANK = 1 << 30
 #: Above this many parts the scan for the minimum is numpy's, so that one very long word stays cheap.
 LONG_WORD = 64
 
 
-def byte_letters() -> list[str]:
-    """Each byte's letter in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    out, n = {b: chr(b) for b in plain}, 0
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(0x100 + n)
-            n += 1
-    return [out[b] for b in range(256)]
-
-
 class RankBPE:
     """The encoder and decoder of one vocabulary file, with a bounded memory of words."""
 

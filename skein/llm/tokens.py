@@ -2,8 +2,9 @@
 
 The vocabulary's rules never join what white space parts (its split pattern has no white space in
 it), so a text's ids are those of its ASCII-white-space words, one after the other. A worker keeps
-the ids of words it has met. Words of ASCII letters, digits and marks go to the library's BPE model
-after the library's own pre-tokenizer has cut them; all others through its whole encode().
+the ids of words it has met. Words of Latin-1 letters with at most a stop or comma after them, whose
+normal form is their lower case, go to the library's BPE model as the one or two pieces that its
+pattern makes of them; all others through its whole encode().
 """
 
 from __future__ import annotations
@@ -15,13 +16,29 @@ import numpy as np
 import public_tokenizers
 
 VOCABULARY = "word_bpe_49k.json"
-_PLAIN = re.compile(rb"([A-Za-z]+)([.,]?)")
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Words and stems a worker keeps: some 200 bytes each.
+MOST_WORDS, MOST_STEMS = 800_000, 400_000
+
+
+def byte_letters() -> list[str]:
+    """Each byte's letter in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out, n = {b: chr(b) for b in plain}, 0
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(0x100 + n)
+            n += 1
+    return [out[b] for b in range(256)]
+
+
+_LETTERS = dict(enumerate(byte_letters()))
 
 
 class WordIds(dict):
     """Word (bytes) to its ids as little-endian unsigned 32-bit integers; forgets all at `most` words."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -29,27 +46,30 @@ class WordIds(dict):
         self.lib.no_truncation()
         self.lib.no_padding()
         self.model, self.most, self.stems = self.lib.model, most, {}
+        self.four = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size())]
 
     def library(self, word: str) -> bytes:
         return np.array(self.lib.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def stem(self, word: bytes) -> bytes:
+    def stem(self, word: str) -> bytes:
         found = self.stems.get(word)
         if found is None:
-            if len(self.stems) >= self.most:
+            if len(self.stems) >= MOST_STEMS:
                 self.stems.clear()
-            found = b"".join(x.id.to_bytes(4, "little") for x in self.model.tokenize(word.decode()))
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            found = b"".join([self.four[x.id] for x in self.model.tokenize(letters)])
             self.stems[word] = found
         return found
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        m = _PLAIN.fullmatch(word)
+        text = word.decode()
+        m = _PLAIN.fullmatch(text)
         if m:  # letters alone are one piece, and a mark after them another
             found = self.stem(m[1].lower()) + (self.stem(m[2]) if m[2] else b"")
         else:
-            found = self.library(word.decode())
+            found = self.library(text)
         self[word] = found
         return found
 
