@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import raw, ship
+from skein.llm.common import claim, raw, ship
 from skein.llm.tokens import byte_letters, vocabulary
 
 NO_RANK = 1 << 30
@@ -156,10 +156,16 @@ class RankBPE:
 
 
 @lru_cache(2)
-def rank_bpe(path: str) -> RankBPE:
+def _rank_bpe(path: str) -> RankBPE:
     return RankBPE(path)
 
 
+def rank_bpe(path: str) -> RankBPE:
+    found = _rank_bpe(path)
+    claim("bpe", found.words, found.pieces)
+    return found
+
+
 def bpe_digests(docs: DataFrame, text: str = "text", out: str = "bpe", path: str | None = None) -> DataFrame:
     """docs with a struct column `out`: n_tokens, and the digests of the ids and of the text decoded from them."""
     ship(docs.sparkSession)

@@ -54,6 +54,18 @@ def raw(texts: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return texts.cast(pa.large_binary()).to_pylist()
 
 
+_held: dict[str, tuple] = {}
+
+
+def claim(owner: str, *memories: dict) -> None:
+    """From now on this worker remembers words for owner; what it held for others is cleared, so that memories of several operators never add up."""
+    if owner not in _held:
+        for other in list(_held):
+            for m in _held.pop(other):
+                m.clear()
+    _held[owner] = memories
+
+
 class WordHash(dict):
     """Word (bytes) to a 64-bit hash; forgets all words at `most` of them."""
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import free_name, raw, ship
+from skein.llm.common import claim, free_name, raw, ship
 
 SAMPLE, BUCKETS, DIM, LENGTHS, EPOCHS = 3000, 1 << 15, 16, (1, 2, 3, 4), 4
 #: Texts are learned in stretches of so many words, so that short texts are known as well as long ones.
@@ -78,6 +78,7 @@ class Model:
 
     def rows(self, words: list[bytes], most: int = 300_000) -> np.ndarray:
         """For each word: its share of the logits, and its number of subwords."""
+        claim("langid", self.words, self.grams)
         if len(self.words) > most:
             self.words.clear()
         known = self.words

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import WordHash, free_name, raw, ship
+from skein.llm.common import WordHash, claim, free_name, raw, ship
 
 #: n-gram length and the largest share of characters in repeated n-grams that is kept.
 LIMITS = ((2, 0.95), (3, 0.85), (5, 0.20), (7, 0.20), (10, 0.20))
@@ -76,6 +76,7 @@ def measure(text: bytes | None, lengths: tuple[int, ...]) -> tuple:
     else:
         chars = np.fromiter((len(w.decode()) for w in words), dtype=np.int64, count=n)
     total = int(chars.sum())
+    claim("quality", _hashes)
     h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=n)
     windows = rolling(h, (*lengths, BASE_N))
     covered, base = [], 0

@@ -15,6 +15,8 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 
+from skein.llm.common import claim
+
 VOCABULARY = "word_bpe_49k.json"
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 #: Words and stems a worker keeps: some 200 bytes each.
@@ -79,9 +81,15 @@ class WordIds(dict):
 
 
 @lru_cache(2)
-def word_ids(path: str) -> WordIds:
+def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def word_ids(path: str) -> WordIds:
+    found = _word_ids(path)
+    claim("tokens", found, found.stems)
+    return found
+
+
 def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
