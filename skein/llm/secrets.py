@@ -66,7 +66,8 @@ def scan_versions(versions: DataFrame, ledger: str, keys: tuple[str, ...] = ("do
         seen = rows.select("blob").filter(F.lit(False))
     # the version that stands for its blob is the one with the lowest hash of its keys: no text is needed to choose it
     place = F.xxhash64(*names)
-    chosen = rows.groupBy("blob").agg(F.min(place).alias("at"))
+    # grouped rows are written before they are joined back: only then can the join split a hot blob
+    chosen = written(rows.groupBy("blob").agg(F.min(place).alias("at")), "chosen")
     skipped = rows.join(chosen, "blob").filter(place != F.col("at")).select("blob", place.alias("p"))
     known = rows.join(seen, "blob", "left_semi").select("blob", place.alias("p"))
     skipped = written(skipped.union(known).distinct(), "skipped")
@@ -76,6 +77,7 @@ def scan_versions(versions: DataFrame, ledger: str, keys: tuple[str, ...] = ("do
     new = todo.select("blob", F.lit(rule_version).alias("rule_version"), scan_text(F.col("text")).alias("findings")).dropDuplicates(["blob"])
     new.write.mode("append").parquet(ledger)
     now = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).select("blob", "findings")
+    now = written(now, "findings")
     return rows.join(now, "blob").select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), "blob", "findings")
 
 
