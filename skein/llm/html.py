@@ -42,7 +42,7 @@ MIN_TOKENS, MIN_SHARE = 2, 0.5
 #: Words are the template's own on at least so many pages and this share: a few mirrored articles are no template.
 OWN_PAGES, OWN_SHARE = 8, 0.9
 #: Bytes of all hosts' templates up to which they are broadcast; beyond, they are joined by shuffle.
-MOST_BROADCAST = 8 << 20
+MOST_BROADCAST, HOST_BYTES = 8 << 20, 128
 #: A page's tokens beyond so many path levels share the role of that level.
 MOST_DEPTH = 200
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -213,7 +213,9 @@ def profiles(pages: DataFrame, page_key: str, host: str, html: str) -> DataFrame
 def templates(profile: DataFrame) -> DataFrame:
     """One row per host: its template, the tokens of valid classes (their class and mean place), and the article's role."""
     of_host = profile.filter("token = 0").select("host", F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("pages").alias("n"))
-    tokens = profile.filter("token <> 0").join(of_host, "host").filter((F.col("n") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("n")))
+    # by broadcast, a host of very many tokens is not one task's; beyond the limit the join splits it
+    small = of_host.count() * HOST_BYTES <= MOST_BROADCAST
+    tokens = profile.filter("token <> 0").join(F.broadcast(of_host) if small else of_host, "host").filter((F.col("n") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("n")))
     tokens = tokens.filter((F.col("role") != "") | ((F.col("n") >= OWN_PAGES) & (F.col("pages") >= OWN_SHARE * F.col("n"))))
     skeleton = (F.col("s1") == F.col("h1")) & (F.col("s2") == F.col("h2"))
     classes = tokens.groupBy("host", "s1", "s2", "pages").agg(F.count("*").alias("size")).filter(F.col("size") >= MIN_TOKENS)
@@ -273,7 +275,8 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str =
     ship(spark)
     host, key = free_name(pages, "host"), free_name(pages, "page_key")
     keyed = pages.withColumn(host, host_of(F.col(url))).withColumn(key, F.xxhash64(url, html))
-    found = written(templates(profiles(keyed, key, host, html)), "templates")
+    profile = written(profiles(keyed, key, host, html), "profiles")  # three branches read it: pages are profiled once
+    found = written(templates(profile), "templates")
     # a template has as many tokens as a page at most; the sum over hosts decides how it is sent
     size = found.agg(F.coalesce(F.sum(F.aggregate("template", F.lit(0).cast("long"), lambda a, t: a + 48 + F.octet_length(t["role"]))), F.lit(0))).first()[0]
     named = found.select(F.col("host").alias(host), F.col("template").alias(t := free_name(pages, "template")))
