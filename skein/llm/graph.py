@@ -13,7 +13,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
 
     Each round hangs every node's larger neighbours, then all of its neighbours, on the least of
     them. No neighbour list is ever gathered: a round is grouped minima (summed before the shuffle)
-    and joins that split hot keys. It ends when a round changes nothing.
+    and joins; minima are written before they are joined back, so that the joins can split hot keys.
+    It ends when a round changes nothing.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     now = written(now, f"{name}-0")
@@ -22,10 +23,10 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         if not mark[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{i}m")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, f"{name}-{i}a")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{i}n")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = written(small.filter("u <> v").distinct(), f"{name}-{i}b")
         new = _mark(now)

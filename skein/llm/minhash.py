@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import WordHash, free_name, raw, ship, written
+from skein.llm.common import WordHash, claim, free_name, raw, ship, written
 from skein.llm.graph import components
 
 #: Bits of an Odd sketch; how far below the limit its estimate may lie; classes in a block; classes all blocks of a family see.
@@ -50,6 +50,7 @@ def shingles(text: bytes | None, k: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, dtype=np.uint64)
+    claim("minhash", _hashes)
     h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=n)
     with np.errstate(over="ignore"):
         m = min(k, n)
@@ -183,12 +184,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     samples = bands * rows
     signed = written(signatures(docs, doc_id, text, k, bands, rows), "signed")
     sets = signed.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    # grouped rows are written before they are joined back: only then can the join split a hot key
+    classes = written(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     members = written(sets.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep").distinct(), "members")
     reps = sets.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"]).select(F.col("doc_id").alias("rep"), "text_key", "bands", "sketch", "size")
     reps = written(reps, "reps")
     banded = reps.select("rep", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    least = written(banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high"), "bands")
     hung = banded.join(least, "band").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     families = written(components(hung, "families"), "families")
     links = _family_links(docs, doc_id, text, families, reps, k, percent, samples)
