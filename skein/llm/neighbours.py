@@ -5,11 +5,15 @@
    follows the number of vectors; a code shared by more than a leaf holds is dealt to several leaves.
 3. Descent: around each vector stand its neighbours and those it is a neighbour of (the nearest
    `neighbours` of each). All of these are compared with each other, and each keeps its nearest.
-4. Edges at the threshold give components. A list that is full of links is saturated: it is enlarged
-   to its whole component, in blocks of vectors. There all cosines are taken in double precision,
-   links are counted, and only links that connect something are put out.
-5. An audit holds a bounded sample against all vectors; while it finds fewer than `recall` of the
-   sample's links, more tables and a descent with longer lists follow.
+4. Edges at the threshold give components. A list that holds as many links as a leaf or a centre
+   gives is saturated: others may have been cut off. Its vector is held against all vectors of other
+   components, in blocks; angles to the middles of components leave out what cannot link. Components
+   that link are one.
+5. Each component is compared with itself in blocks of vectors. There all cosines are taken in double
+   precision, links are counted, and only links that connect something are put out.
+6. An audit holds a bounded sample against all vectors; while fewer than `recall` of the sampled
+   vectors with links have all of these in their component, more tables and a descent with longer
+   lists follow. After the last of `rounds`, all blocks are compared.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and null ids, link with
 nothing. Vectors of different lengths never link. Rows with one id are one node.
@@ -22,13 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import ship, written
 from skein.llm.graph import components
 
 LEAF, TABLES, NEIGHBOURS, BLOCK = 64, 12, 8, 1024
+#: Nearest that a leaf or a centre gives to a vector. A list with fewer links has had none cut off.
+NEAREST = 4
 #: Audited vectors: their number bounds what reaches the driver and what is sent to the executors.
 AUDIT, RECALL, ROUNDS = 512, 0.98, 4
 _SEARCH_SLACK = 1e-4
@@ -108,7 +114,7 @@ def _leaves(reps: DataFrame, n: int, tables: range) -> DataFrame:
             x = np.frombuffer(b"".join([rows[i] for i in at]), dtype=np.float32).reshape(len(at), -1)
             sim = x @ x.T
             np.fill_diagonal(sim, -2)
-            k = min(4, len(at) - 1)
+            k = min(NEAREST, len(at) - 1)
             best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
             a.append(np.repeat(u[at], k))
             b.append(u[at][best].ravel())
@@ -147,7 +153,7 @@ def _descend(graph: DataFrame, reps: DataFrame, n: int, k: int) -> DataFrame:
             x = np.frombuffer(b"".join([rows[i] for i in at]), dtype=np.float64).reshape(len(at), -1).astype(np.float32)
             sim = x @ x.T
             np.fill_diagonal(sim, -2)
-            most = min(4, len(at) - 1)
+            most = min(NEAREST, len(at) - 1)
             best = np.argpartition(-sim, most - 1, axis=1)[:, :most]
             value = np.take_along_axis(sim, best, 1)
             i, j = np.nonzero(value > low[at][:, None])
@@ -160,6 +166,61 @@ def _descend(graph: DataFrame, reps: DataFrame, n: int, k: int) -> DataFrame:
     return joined.groupBy("group").applyInArrow(lambda t: local(t), "u long, v long, sim float")
 
 
+def _packed_rows(rows: DataFrame, pack: Column, name: str) -> DataFrame:
+    """rows (id, component, dim, unit) with those of one pack and length as one row."""
+
+    def join(t: pa.Table) -> pa.Table:
+        order = np.lexsort((t["id"].to_numpy(), t["component"].to_numpy()))
+        units = t["unit"].to_pylist()
+        return pa.table({"dim": t["dim"][:1], "ids": [t["id"].to_numpy()[order].tobytes()], "components": [t["component"].to_numpy()[order].tobytes()], "units": [b"".join([units[i] for i in order])]})
+
+    packed = rows.withColumn("pack", pack).groupBy("pack", "dim").applyInArrow(lambda t: join(t), "dim int, ids binary, components binary, units binary")
+    return written(packed, name)
+
+
+def _bridges(near: DataFrame, reps: DataFrame, found: DataFrame, n: int, k: int, limit: float) -> DataFrame:
+    """a, b: links of saturated vectors with other components, one at least for each two components that have any."""
+    saturated = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links")).filter(F.col("links") >= min(NEAREST, k)).select("id")
+    rows = reps.select("id", "dim", "unit").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "dim", "unit")
+    full = written(rows.join(saturated, "id", "left_semi"), "saturated")
+    # a component's vectors share a pack, or fill several
+    sizes = full.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    full = full.join(sizes, "component")
+    packs = max(1, -(-full.count() // BLOCK))
+    ours = _packed_rows(full, F.pmod(F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("parts"))), F.lit(packs)), "packs")
+    all_packs = _packed_rows(rows, F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK)))), "all-packs")
+    room = np.arccos(np.clip(limit, -1, 1)) + 1e-6
+
+    def unpacked(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(row[f"ids{side}"], dtype=np.int64), np.frombuffer(row[f"components{side}"], dtype=np.int64), np.frombuffer(row[f"units{side}"], dtype=np.float64).reshape(-1, row[f"dim{side}"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["dim1"] != row["dim2"]:
+                    continue
+                (u, cu, x), (v, cv, y) = unpacked(row, "1"), unpacked(row, "2")
+                starts = np.flatnonzero(np.diff(cu, prepend=cu[0] - 1))
+                groups = np.split(np.arange(len(u)), starts[1:])
+                # of vectors that cancel out each other any may be the middle
+                middles = np.stack([m / r if (r := np.linalg.norm(m := x[g].sum(0))) > 1e-6 else x[g[0]] for g in groups])
+                wide = np.array([np.arccos(np.clip((x[g] @ m).min(), -1, 1)) for g, m in zip(groups, middles, strict=True)])
+                may = (np.arccos(np.clip(y @ middles.T, -1, 1)) <= wide + room) & (cv[:, None] != cu[starts])
+                a, b = [], []
+                for j in np.flatnonzero(may.any(0)):
+                    at = np.flatnonzero(may[:, j])
+                    link = y[at] @ x[groups[j]].T >= limit - 1e-9
+                    hit = np.flatnonzero(link.any(1))
+                    hit = hit[np.unique(cv[at[hit]], return_index=True)[1]]  # one for each two components
+                    a.append(v[at[hit]])
+                    b.append(u[groups[j][link[hit].argmax(1)]])
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}{s}") for c in df.columns))
+    return written(side(all_packs, "2").crossJoin(side(ours, "1")).mapInArrow(across, "a long, b long"), "bridges")
+
+
 def _exact(found: DataFrame, reps: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
     """found: node, component. Per vector and block pair its number of links (u, n), and links that connect (a, b)."""
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -204,7 +265,7 @@ def _exact(found: DataFrame, reps: DataFrame, limit: float) -> tuple[DataFrame,
 
 
 def _audit(reps: DataFrame, found: DataFrame, limit: float, most: int) -> float:
-    """The share of the sample's links, by brute force over all vectors, whose ends share a component."""
+    """The share of the sample's vectors with links, by brute force over all vectors, that share a component with all they link with."""
     sample = reps.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "dim", "unit").collect()
     ids, dims = np.array([r["id"] for r in sample], dtype=np.int64), np.array([r["dim"] for r in sample])
     own = {d: (ids[dims == d], np.stack([np.frombuffer(r["unit"], dtype=np.float64) for r in sample if r["dim"] == d])) for d in set(dims.tolist())}
@@ -222,8 +283,10 @@ def _audit(reps: DataFrame, found: DataFrame, limit: float, most: int) -> float:
 
     truth = reps.select("id", "dim", "unit").mapInArrow(hold, "a long, b long")
     x, y = found.toDF("a", "ca"), found.toDF("b", "cb")
-    r = truth.join(x, "a", "left").join(y, "b", "left").agg(F.count("*").alias("n"), F.sum((F.col("ca") == F.col("cb")).cast("int")).alias("k")).first()
-    return (r["k"] or 0) / r["n"] if r["n"] else 1.0
+    # per vector: one in a large group counts as much as one of a pair
+    whole = truth.join(x, "a", "left").join(y, "b", "left").groupBy("b").agg(F.min(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("int")).alias("whole"))
+    share = whole.agg(F.avg("whole")).first()[0]
+    return 1.0 if share is None else share
 
 
 def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", limit: float = 0.95, tables: int = TABLES, neighbours: int = NEIGHBOURS, recall: float = RECALL, audit: int = AUDIT, rounds: int = ROUNDS) -> DataFrame:
@@ -243,9 +306,14 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
         graph = written(_nearest(graph.select("u", "v", "sim").union(_descend(graph, reps, n, k)), k), "graph")
         near = graph.filter(F.col("sim") >= limit - _SEARCH_SLACK).select(F.col("u").alias("a"), F.col("v").alias("b"))
         found = written(components(near, "near"), "near")
+        more = _bridges(near, reps, found, n, k, limit)
+        if not more.isEmpty():
+            found = written(components(near.union(more), "bridged"), "bridged")
         if _audit(reps, found, limit, audit) >= recall:
             break
         k *= 2
+    else:  # the search finds too little: each two vectors of one length are compared
+        found = reps.select(F.col("id").alias("node"), F.col("dim").cast("long").alias("component"))
     links, connect = _exact(found, reps, limit)
     edges = connect.union(members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     label = components(edges, "linked")

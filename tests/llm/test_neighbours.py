@@ -1,6 +1,7 @@
 """Near-duplicate vectors against all pairs."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skein.llm import neighbours, queries
 
@@ -62,3 +63,26 @@ def test_odd_vectors(spark):
     assert have[1] == (2, 1) and have[2] == (2, 1) and have[10] == (2, 1)
     assert all(have[i] == (0, i) for i in (3, 4, 5, 6, 7, 8, 9, 11)) and have[None] == (0, None)
     assert neighbours.near_vectors(df.limit(0)).count() == 0
+
+
+def test_links_between_saturated_groups(spark):
+    """Each list is full of links to its own group; the links to the other group are in none of them."""
+    rng = np.random.default_rng(5)
+    a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    centres = [a, np.cos(0.266) * a + np.sin(0.266) * b, -a]
+    vectors = {1000 * c + i: (centres[c] + rng.normal(size=64) * 0.001).tolist() for c in range(2) for i in range(100)}
+    vectors |= {5000 + i: (centres[2] + rng.normal(size=64) * 0.001).tolist() for i in range(1500)}  # so many links that the others are less than a hundredth
+    want = brute(vectors)
+    assert want[0] == (199, 0) and want[1099] == (199, 0)
+    assert got(neighbours.near_vectors(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")).collect()) == want
+
+
+def test_search_that_finds_too_little_is_made_exact(spark, monkeypatch):
+    """No list and no round finds a link: all blocks are compared."""
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    monkeypatch.setattr(neighbours, "_nearest", lambda edges, k: edges.withColumn("r", F.lit(1)).filter("sim > 2"))
+    rng = np.random.default_rng(6)
+    vectors = {i: rng.normal(size=16).tolist() for i in range(100)}
+    vectors |= {200 + i: (np.array(vectors[i]) * 1.5 + 0.01).tolist() for i in range(20)}
+    rows = neighbours.near_vectors(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"), rounds=1).collect()
+    assert got(rows) == brute(vectors)
