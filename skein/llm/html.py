@@ -46,7 +46,11 @@ MOST_BROADCAST, HOST_BYTES = 8 << 20, 128
 #: A page's tokens beyond so many path levels share the role of that level.
 MOST_DEPTH = 200
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
+#: Attributes that tell an element's role.
+TOLD_BY = frozenset("class id role itemprop hidden style aria-hidden".split())
+#: Longer attributes are parsed each time, not remembered.
+MOST_KEPT = 400
 _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math select title xmp noembed noframes object canvas audio video".split())
@@ -65,7 +69,9 @@ def _role(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
     """The element's role, and whether it is out, a header, an article."""
     words, hidden = [], False
     for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
-        value, name = (a or b or c).lower(), name.lower()
+        if (name := name.lower()) not in TOLD_BY:
+            continue
+        value = (a or b or c).lower()
         if name == "style":
             hidden |= "display:none" in value.replace(" ", "")
         elif name == "hidden" or name == "aria-hidden":
@@ -136,7 +142,7 @@ class Page:
                         break
                 add((0, 3, "", out, article, link, path))
             attrs = m[3]
-            name, is_out, is_head, is_article = _role(tag, attrs if len(attrs) < 400 else attrs[:400])
+            name, is_out, is_head, is_article = (_role if len(attrs) < MOST_KEPT else _role.__wrapped__)(tag, attrs)
             if tag in RAW:
                 if attrs.endswith("/") and tag in ("svg", "math"):
                     continue

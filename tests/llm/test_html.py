@@ -57,3 +57,11 @@ def test_equal_vectors_are_one_class():
     page = html.Page("<body><ul><li><a>1</a><li><a>2</a></ul><p>t</p></body>")
     opened = [t[6] for t in page.tokens if t[1] == 0]
     assert opened == [">body", ">body>ul", ">body>ul>li", ">body>ul>li>a", ">body>ul>li", ">body>ul>li>a", ">body>p"]
+
+
+def test_attributes_behind_a_long_one(spark):
+    long = f"data-props=\"{'x' * 450} class='main'\""
+    page = f"<body><div {long}><p>kept</p></div><div {long} class=\"sidebar comments\"><p>side</p></div><p {long} hidden>hidden</p><p title=\"a class=ad b\">title</p></body>"
+    rows = spark.createDataFrame([(1, "http://a.example/1", page), (2, "http://b.example/1", f"<body><p>x</p><div {long} itemprop='articleBody'>body</div></body>")], "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in html.main_text(rows, out="text").collect()}
+    assert text == {1: "kept\n\ntitle", 2: "body"}
