@@ -26,6 +26,8 @@ SAMPLE, BUCKETS, DIM, LENGTHS, EPOCHS = 3000, 1 << 15, 16, (1, 2, 3, 4), 4
 STRETCH = 24
 #: Stretches that training looks at, at most.
 STRETCHES = 48_000
+#: Words of more characters with their marks are taken in stretches of so many, and not kept by word beyond as many bytes.
+LONG = 64
 _STRIP = b".,;:!?\"'()[]{}<>|*#$%&+-=_/\\@^~`0123456789"
 
 
@@ -49,14 +51,16 @@ class Grams(dict):
 
 
 def subwords(word: bytes, rows: Grams) -> np.ndarray:
-    """Rows of the different subwords of a word, in a fixed order."""
-    s = f"<{word.decode()}>"[:64]
+    """Rows of the different subwords of a word, in a fixed order; of a long one, of those that start in each stretch."""
+    s = f"<{word.decode()}>"
     n = len(s)
-    grams = dict.fromkeys([s[i : i + k] for k in LENGTHS for i in range(n - k + 1)])
-    grams.pop("<", None)
-    grams.pop(">", None)
-    out = [rows[g] for g in grams]
-    if s not in grams:
+    out: list[int] = []
+    for at in range(0, n, LONG):
+        grams = dict.fromkeys([s[i : i + k] for k in LENGTHS for i in range(at, min(at + LONG, n - k + 1))])
+        grams.pop("<", None)
+        grams.pop(">", None)
+        out += [rows[g] for g in grams]
+    if n > max(LENGTHS):
         out.append(xxhash.xxh3_64_intdigest(s.encode()) % rows.buckets)
     return np.array(out, dtype=np.int64)
 
@@ -111,7 +115,12 @@ class Model:
             return None
         if not words:
             return self.bias
-        total = self.rows(words).sum(0, dtype=np.float64)
+        total = self.rows([w for w in words if len(w) <= LONG]).sum(0, dtype=np.float64)
+        for w in words:
+            if len(w) > LONG:
+                g = subwords(w, self.grams)
+                total[:-1] += self.folded()[g].sum(0, dtype=np.float64)
+                total[-1] += len(g)
         return total[:-1] / max(total[-1], 1) + self.bias
 
     def predict(self, text: bytes | None) -> tuple[str, float, bool]:

@@ -33,3 +33,15 @@ def test_odd_rows(odd_docs, no_docs):
     assert langid.identify(no_docs, langid.fit_language_model(no_docs)).count() == 0
     assert langid.identify(odd_docs, langid.fit_language_model(no_docs)).filter("language.lang_pred <> 'und'").count() == 0
     assert langid.language_filter(odd_docs).columns == odd_docs.columns
+
+
+def test_whole_of_a_long_word_is_read():
+    rows = langid.Grams(1 << 40)
+    word = "".join(chr(97 + i * i % 26) for i in range(200)) + "ßzq"
+    have = set(langid.subwords(word.encode(), rows).tolist())
+    marked = f"<{word}>"
+    assert have == {rows[g] for k in langid.LENGTHS for i in range(len(marked) - k + 1) if (g := marked[i : i + k]) not in ("<", ">")} | {rows[marked]}
+    one, two = "abba cab baca bacca " * 30, "xyzzy zyx yxxz zyzy " * 30
+    model = langid.train([one, two] * 20, ["one", "two"] * 20)
+    assert model.predict((one[:80] + two * 5).replace(" ", "\u00a0").encode())[0] == "two"
+    assert not any(len(w) > langid.LONG for w in model.words)
