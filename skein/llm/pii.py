@@ -86,12 +86,13 @@ def bootstrap(instances: DataFrame, docs: DataFrame, text: str, support: int = S
     """The (context, value) pairs of unseen identifiers that high-confidence contexts discover.
 
     instances: context, value, known, one row per place. A context without `support` different
-    values can never reach it, so only the others are counted in the texts.
+    values can never reach it, so only the others are counted in the texts. One that never stands
+    before a seed stays: values discovered in a round can lift it in the next.
     """
     # distinct before counting: a value that is a third of all rows is one edge
     edges = instances.groupBy("context", "value").agg(F.max("known").alias("known"))
-    wide = edges.groupBy("context").agg(F.count("*").alias("v"), F.sum(F.col("known").cast("int")).alias("s"))
-    wide = written(wide.filter((F.col("v") >= support) & (F.col("s") >= 1)).select("context"), "contexts")
+    wide = edges.groupBy("context").agg(F.count("*").alias("v"))
+    wide = written(wide.filter(F.col("v") >= support).select("context"), "contexts")
     counted = written(occurrences(docs, text, wide), "occurrences")
     # what stands in the texts once for each place also bounds the score: places / occurrences
     edges = written(instances.join(wide, "context", "left_semi").groupBy("context", "value").agg(F.max("known").alias("known"), F.count("*").alias("places")), "edges")

@@ -130,3 +130,21 @@ def test_overlapping_spans_are_masked_once(spark):
     spans = F.array(F.struct(F.lit(1).alias("start"), F.lit(5).alias("end")), F.struct(F.lit(3).alias("start"), F.lit(7).alias("end")))
     assert df.select(masked(F.col("t"), spans, "#")).first()[0] == "0#789"
     assert df.select(find(F.col("t"), "[3-4]+|7", F.lit(True))).first()[0][1]["start"] == 7
+
+
+def chain(hops):
+    """Phones after `hop0:`; each further context stands before values of the one before it, and before new ones."""
+    texts = [f"Some words. hop0: +49 30 5550{i:04d} and more" for i in range(12)] + [f"Words {i}. hop0: ID-1000{i} and so on" for i in range(6)]
+    for k in range(1, hops + 1):
+        texts += [f"Text {j} {i}. hop{k}: ID-{k}000{i} in it" for i in range(6) for j in range(2)] + [f"Other {i}. hop{k}: ID-{k + 1}000{i} then" for i in range(6)]
+    return texts
+
+
+def discovered(spark, texts):
+    rows = pii.personal_data_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r["doc_id"] for r in rows if r["spans"].startswith("context:")}
+
+
+def test_discovered_identifiers_lift_contexts_without_seeds(spark):
+    texts = chain(1)
+    assert discovered(spark, [*texts, "Words. place: 7007-0001 here"]) == set(range(12, len(texts)))
