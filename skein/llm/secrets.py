@@ -28,7 +28,7 @@ RULES = (
     ("hex", r"[0-9a-f]{16,}", r"[0-9a-f]{16}", 16),
     ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "PRIVATE KEY-----", 1),
     ("github", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,255}(?![A-Za-z0-9])", "gh[pousr]_", 1),
-    ("jwt", r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{10,2000}\.eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,2000}", r"eyJ.*\.eyJ", 1),
+    ("jwt", r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", r"eyJ.*\.eyJ", 1),
 )
 RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
 FINDINGS = "array<struct<start:int,k:int,kind:string,end:int>>"

@@ -148,3 +148,10 @@ def discovered(spark, texts):
 def test_discovered_identifiers_lift_contexts_without_seeds(spark):
     texts = chain(1)
     assert discovered(spark, [*texts, "Words. place: 7007-0001 here"]) == set(range(12, len(texts)))
+
+
+def test_long_jwt_is_one_secret(spark):
+    token = "eyJ" + "h" * 3000 + ".eyJ" + "p" * 6000 + "." + "S" * 3000
+    docs = spark.createDataFrame([(1, f"see {token} end")], "doc_id long, text string")
+    assert f"jwt:4:{4 + len(token)}" in secrets.secret_digests(docs).first()["spans"].split(",")
+    assert secrets.redact(docs).first()["text"] == "see [SECRET] end"
