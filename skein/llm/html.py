@@ -6,14 +6,13 @@ on each page. Tokens with equal vectors are an equivalence class. Vectors are he
 page hashes times counts, so they add up in grouped sums and are never gathered.
 
 The class with the vector of the page itself (once on each page of the host) is the skeleton of the
-template. Other classes of enough tokens and pages are valid and nest in it: a class whose first
-token stands within one gap of its parent is a part of that gap. Text runs that are in a valid class
-are the template's own words; what is left between template tokens are the slots.
-
-Extraction keeps the slots of the article: those within the skeleton's article element, or where the
-template has none, those of the host's element with most unlinked slot text. Slots within menus,
-headers, footers, sidebars, notices, adverts, forms and comments are the template's, told by their
-roles. Character references are decoded, white space in a block becomes one space, blocks are
+template. Other classes of enough tokens and pages are valid; text runs in a valid class, on nearly
+all of at least `OWN_PAGES` pages, are the template's own words. Classes are not ordered, not nested
+in gaps of their parents, and no slots are derived from gaps.
+
+Instead, extraction keeps the text runs within an article element, or where a page has none, within
+the host's element with most unlinked text. Menus, headers, footers, sidebars, notices, adverts,
+forms and comments are left out by fixed lists of elements and role words. Character references are decoded, white space in a block becomes one space, blocks are
 joined by two newlines.
 
 Null, empty or textless html: empty text. Null url or one without host: the pages without host are
