@@ -4,7 +4,7 @@ The fixed kinds (email, ip, card, phone) are found in each whole text. They are
 before an identifier-like token is its context, a lexical pattern. Contexts and token values form a
 graph. A context's score is the sum of its known values' scores over all its occurrences in all
 texts; a value's score is the best of its contexts'. In each round values above `accept`
-become known and lift further contexts. Tokens that are not of a fixed kind, stand after a context
+become known and lift further contexts, until a round changes nothing. Tokens that are not of a fixed kind, stand after a context
 above `accept` and have been accepted are added as spans of kind `context`.
 
 A context needs `support` different known values, so a copied sentence induces nothing.
@@ -20,7 +20,9 @@ from skein.llm.common import written
 from skein.llm.spans import find, listed, of_kind
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, ACCEPT, ROUNDS = 5, 0.5, 3
+SUPPORT, ACCEPT = 5, 0.5
+#: Rounds end when nothing is discovered and no score rises by more than SETTLED. More than MOST_ROUNDS are an error.
+SETTLED, MOST_ROUNDS = 1e-4, 100
 #: Contexts to count are broadcast up to this many; beyond, they are joined by shuffle.
 MOST_BROADCAST = 50_000
 _LOCAL = "A-Za-z0-9._%+-"
@@ -29,7 +31,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # A run of digits with single separators, whole: runs of other than 16 to 19 digits are not matched in part.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A token like an identifier: letters, digits and joints, between white space or brackets, with three digits at least.
+#: A token like an identifier: 6 to 64 letters, digits and joints, between white space or brackets, with three digits at least.
 TOKEN = r"(?<![^\s(\[{<\"'])(?=[^\s]{0,40}?[0-9][^\s]{0,40}?[0-9][^\s]{0,40}?[0-9])[A-Za-z0-9+(][A-Za-z0-9@._%+()/-]{4,62}[A-Za-z0-9](?=[\s.,;:!?)\]}>\"']|$)"
 
 
@@ -82,7 +84,7 @@ def occurrences(docs: DataFrame, text: str, contexts: DataFrame) -> DataFrame:
     return words.join(F.broadcast(contexts) if small else contexts, "context", "left_semi").groupBy("context").agg(F.count("*").alias("n"))
 
 
-def bootstrap(instances: DataFrame, docs: DataFrame, text: str, support: int = SUPPORT, accept: float = ACCEPT, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(instances: DataFrame, docs: DataFrame, text: str, support: int = SUPPORT, accept: float = ACCEPT, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """The (context, value) pairs of unseen identifiers that high-confidence contexts discover.
 
     instances: context, value, known, one row per place. A context without `support` different
@@ -97,13 +99,21 @@ def bootstrap(instances: DataFrame, docs: DataFrame, text: str, support: int = S
     # what stands in the texts once for each place also bounds the score: places / occurrences
     edges = written(instances.join(wide, "context", "left_semi").groupBy("context", "value").agg(F.max("known").alias("known"), F.count("*").alias("places")), "edges")
     scores = edges.select("value", F.col("known").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score"))
-    patterns = None
-    for _ in range(rounds):
+    patterns, before = None, -1
+    for _ in range(most_rounds):
         patterns = edges.join(scores, "value").groupBy("context").agg(F.sum(F.col("score") * F.col("places")).alias("hits"), F.sum((F.col("score") >= accept).cast("int")).alias("values"))
         patterns = written(patterns.join(counted, "context").filter(F.col("values") >= support).select("context", (F.col("hits") / F.col("n")).alias("confidence")), "patterns")
         best = edges.join(patterns, "context").groupBy("value").agg(F.max("confidence").alias("best"))
-        found = edges.groupBy("value").agg(F.max("known").alias("known")).join(best, "value", "left")
-        scores = written(found.select("value", F.when(F.col("known"), 1.0).when(F.col("best") >= accept, F.col("best")).otherwise(0.0).alias("score")), "scores")
+        found = edges.groupBy("value").agg(F.max("known").alias("known")).join(best, "value", "left").join(scores.withColumnRenamed("score", "was"), "value")
+        scores = written(found.select("value", "was", F.when(F.col("known"), 1.0).when(F.col("best") >= accept, F.col("best")).otherwise(0.0).alias("score")), "scores")
+        now = scores.agg(F.count_if(F.col("score") >= accept).alias("n"), F.max(F.col("score") - F.col("was")).alias("rise")).first()
+        scores = scores.drop("was")
+        # scores only rise, so that equal counts are equal values
+        if now["n"] == before and now["rise"] <= SETTLED or not now["n"]:
+            break
+        before = now["n"]
+    else:
+        raise RuntimeError(f"contexts did not settle in {most_rounds} rounds")
     strong = patterns.filter(F.col("confidence") >= accept)
     return edges.filter(~F.col("known")).join(strong, "context").join(scores.filter(F.col("score") >= accept), "value").select("context", "value")
 

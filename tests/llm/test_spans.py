@@ -150,6 +150,11 @@ def test_discovered_identifiers_lift_contexts_without_seeds(spark):
     assert discovered(spark, [*texts, "Words. place: 7007-0001 here"]) == set(range(12, len(texts)))
 
 
+def test_rounds_go_on_until_nothing_is_discovered(spark):
+    texts = chain(5)
+    assert discovered(spark, texts) == set(range(12, len(texts)))
+
+
 def test_long_jwt_is_one_secret(spark):
     token = "eyJ" + "h" * 3000 + ".eyJ" + "p" * 6000 + "." + "S" * 3000
     docs = spark.createDataFrame([(1, f"see {token} end")], "doc_id long, text string")
