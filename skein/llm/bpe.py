@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import claim, raw, ship
-from skein.llm.tokens import byte_letters, vocabulary
+from skein.llm.tokens import by_word, byte_letters, vocabulary
 
 NO_RANK = 1 << 30
-#: Above this many parts the scan for the minimum is numpy's, so that one very long word stays cheap.
+#: Above this many parts the minimum comes from a heap, so that one very long word stays cheap.
 LONG_WORD = 64
 
 
@@ -39,6 +39,8 @@ class RankBPE:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("dropout"):
             raise ValueError("only plain byte-level BPE files are read")
+        if not by_word(spec):
+            raise ValueError("the file has other rules of normalisation or splitting")
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -80,10 +82,10 @@ class RankBPE:
         return parts
 
     def merge_long(self, parts: list[int], adjacent: list[tuple[int, int]]) -> list[int]:
-        """The same for a word of many parts: boundaries in a linked array, all places of the lowest rank at a time, left to right.
+        """The same for a word of many parts: the boundaries are a linked array, the adjacent ranks a heap.
 
-        A merge only makes pairs of its own product, and the product's rank as a part is later than
-        the merge itself, so no new pair can have the rank being worked off or a lower one first.
+        The heap gives the lowest rank, the leftmost place of equals. An entry whose rank at its
+        place is no longer the current one is left out.
         """
         import heapq
 

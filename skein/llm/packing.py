@@ -2,12 +2,15 @@
 
 Lengths of pieces are at most `size`, so their histogram has at most `size` rows however many
 documents there are; the plan is made on it. For the longest length left, the gap is looked up among
-single lengths, then sums of pairs, then of triples; a combination found is consumed as often as its
-counts allow. Gaps without a combination are narrowed by the longest length that fits and looked up
-again; what still doesn't close is filled best-fit. Pieces then find their place by their rank among
-pieces of the same length, counted in salted parts so that one frequent length is never one task.
-
-Null text: empty, thus a piece of the end id alone. Equal rows: interchangeable. Empty table: no rows.
+single lengths, then sums of pairs, then of triples, in an index by sum; a combination found is
+consumed as often as its counts allow. Gaps without a combination are narrowed by the longest length
+that fits and looked up again; what still doesn't close is filled best-fit. Pieces then find their
+place by their rank among pieces of the same length, counted in salted parts so that one frequent
+length is never one task.
+
+Null text: empty, thus a piece of the end id alone. Very long texts: whole, in pieces of `size` ids.
+Equal rows and pieces of equal length: interchangeable, ranked by id, piece and digest. Empty table:
+no rows. Other columns of the documents are not looked at, so they cannot clash.
 """
 
 from __future__ import annotations
@@ -29,13 +32,27 @@ PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
 class Complements:
-    """Counts of lengths, indexed for sums of one, two and three of them by bit sets."""
+    """Counts of lengths, and an index by sum of the singles, pairs and triples of them.
+
+    Pairs stand in one array, those of a sum side by side, so a sum is looked up by its address. A
+    triple is a length and a pair of what is left. Counts only fall: what is used up at the front of
+    a sum is passed once and for all, by a cursor, so all look-ups together cost what the index has.
+    """
 
     def __init__(self, counts: dict[int, int], size: int):
         self.left = {k: v for k, v in counts.items() if v > 0}
         self.size = size
         self.up = sum(1 << k for k in self.left)
-        self.down = sum(1 << (size - k) for k in self.left)
+        self.lengths = sorted(self.left, reverse=True)
+        own = np.array(self.lengths, dtype=np.int64)
+        first = [np.full(len(b), a) for a in self.lengths if len(b := own[(own <= a) & (own <= size - a)])]
+        second = [b for a in self.lengths if len(b := own[(own <= a) & (own <= size - a)])]
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (first, second))
+        order = np.argsort(a + b, kind="stable")  # within a sum, the most unequal pair first
+        self.a, self.b = a[order].astype(np.int32), b[order].astype(np.int32)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(a + b, minlength=size + 1))))
+        self.at, self.end = ends[:-1].tolist(), ends[1:].tolist()
+        self.third = [0] * (size + 1)
 
     def take(self, lengths: list[int], n: int) -> None:
         for k in lengths:
@@ -43,7 +60,6 @@ class Complements:
             if not self.left[k]:
                 del self.left[k]
                 self.up ^= 1 << k
-                self.down ^= 1 << (self.size - k)
 
     def longest(self, most: int) -> int:
         """The longest length up to most, or 0."""
@@ -53,32 +69,35 @@ class Complements:
         return all(self.left.get(k, 0) >= lengths.count(k) for k in lengths)
 
     def pair(self, gap: int, held: list[int]) -> list[int] | None:
-        both = self.up & (self.down >> (self.size - gap)) & ((1 << gap) - 2)
-        while both:
-            a = both.bit_length() - 1
-            if 2 * a < gap:
+        i, end = self.at[gap], self.end[gap]
+        while i < end and not self.fits([int(self.a[i]), int(self.b[i])]):
+            i += 1
+        self.at[gap] = i
+        for j in range(i, end):  # past the first only what `held` keeps from being taken now
+            found = [int(self.a[j]), int(self.b[j])]
+            if self.fits([*held, *found]):
+                return found
+        return None
+
+    def triple(self, gap: int, held: list[int]) -> list[int] | None:
+        while self.third[gap] < len(self.lengths):  # used up for good, or with no pair left for the rest
+            a = self.lengths[self.third[gap]]
+            if a in self.left and a < gap - 1 and (self.pair(gap - a, []) or self.at[gap - a] < self.end[gap - a]):
                 break
-            if self.fits([*held, a, gap - a]):
-                return [a, gap - a]
-            both ^= 1 << a
+            self.third[gap] += 1
+        for k in range(self.third[gap], len(self.lengths)):
+            a = self.lengths[k]
+            if 3 * a < gap:
+                break
+            if a < gap - 1 and self.fits([*held, a]) and (found := self.pair(gap - a, [*held, a])):
+                return [a, *found]
         return None
 
     def exact(self, gap: int, held: list[int]) -> list[int] | None:
         """One, two or three lengths that sum to gap and are there beside those held."""
         if gap in self.left and self.fits([*held, gap]):
             return [gap]
-        top = self.longest(min(gap, self.size))
-        if 2 * top >= gap and (found := self.pair(gap, held)):
-            return found
-        if 3 * top >= gap:
-            a = top
-            while 3 * a >= gap:
-                if a < gap - 1 and self.fits([*held, a]) and (found := self.pair(gap - a, [*held, a])):
-                    return [a, *found]
-                a = self.longest(a - 1)
-                if not a:
-                    break
-        return None
+        return self.pair(gap, held) or self.triple(gap, held)
 
     def fill(self, first: int) -> list[int]:
         """The lengths that share a sequence with `first`."""

@@ -1,14 +1,16 @@
-"""Ids of whole texts by the tokenizers library, made word by word.
-
-The vocabulary's rules never join what white space parts (its split pattern has no white space in
-it), so a text's ids are those of its ASCII-white-space words, one after the other. A worker keeps
-the ids of words it has met. Words of Latin-1 letters with at most a stop or comma after them, whose
-normal form is their lower case, go to the library's BPE model as the one or two pieces that its
-pattern makes of them; all others through its whole encode().
+"""Ids of whole texts by the tokenizers library, made word by word where the file's rules allow it.
+
+Under the normaliser and split pattern below nothing joins what white space parts, so a text's ids
+are those of its ASCII-white-space words, one after the other. A worker keeps the ids of words it
+has met. Words of Latin-1 letters with at most a stop or comma after them, whose normal form is
+their lower case, go to the library's BPE model as the one or two pieces that the pattern makes of
+them; all others through its whole encode(). The file is held against these rules when it is read:
+under any other rules each text goes through encode() as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -18,6 +20,10 @@ import public_tokenizers
 from skein.llm.common import claim
 
 VOCABULARY = "word_bpe_49k.json"
+#: The rules of a vocabulary file under which words are taken one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLIT = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 #: Words and stems a worker keeps: some 200 bytes each.
 MOST_WORDS, MOST_STEMS = 800_000, 400_000
@@ -37,6 +43,12 @@ def byte_letters() -> list[str]:
 _LETTERS = dict(enumerate(byte_letters()))
 
 
+def by_word(spec: dict) -> bool:
+    """Whether a vocabulary file has the rules under which the words of a text stand for themselves."""
+    plain = all(not x["normalized"] and not x["lstrip"] and not x["rstrip"] and not any(c.isspace() for c in x["content"]) for x in spec["added_tokens"])
+    return spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == SPLIT and spec["post_processor"] is None and spec["model"]["type"] == "BPE" and plain
+
+
 class WordIds(dict):
     """Word (bytes) to its ids as little-endian unsigned 32-bit integers; forgets all at `most` words."""
 
@@ -48,6 +60,7 @@ class WordIds(dict):
         self.lib.no_truncation()
         self.lib.no_padding()
         self.model, self.most, self.stems = self.lib.model, most, {}
+        self.by_word = by_word(json.loads(self.lib.to_str()))
         self.four = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size())]
 
     def library(self, word: str) -> bytes:
@@ -77,6 +90,8 @@ class WordIds(dict):
 
     def encode(self, text: bytes | None) -> bytes:
         """A whole text's ids, as bytes."""
+        if not self.by_word:
+            return self.library(text.decode()) if text else b""
         return b"".join(map(self.__getitem__, text.split())) if text else b""
 
 

@@ -1,6 +1,7 @@
 """Tokens, packing and files against the tokenizers library and brute force."""
 
 import hashlib
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -45,6 +46,16 @@ def test_words_and_ranks_equal_the_library(text):
     assert own.decode(want).decode() == lib.decode(np.frombuffer(want, "<u4").tolist(), skip_special_tokens=False)
 
 
+def test_other_vocabularies_go_through_the_library_or_are_refused():
+    path = vocabulary("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    for text in ("Hello World, this is Été.", "  a  b\n", "it's we'll"):
+        assert word_ids(path).encode(text.encode()) == as_bytes(lib.encode(text, add_special_tokens=False).ids)
+    assert not word_ids(path).by_word and word_ids(vocabulary()).by_word
+    with pytest.raises(ValueError):
+        bpe.RankBPE(path)
+
+
 def test_long_word_merges_alike(lib):
     own = bpe.RankBPE(vocabulary())
     for text in ("ab" * 400, "theinanre" * 300, "a" * 1000, "erhonin" * 11):
@@ -164,3 +175,38 @@ def test_token_files_of_odd_rows(spark, odd_docs, no_docs):
     rows = wavelet.token_file_round_trip(odd_docs).collect()
     assert len(rows) == len(ODD_TEXTS) + 2 and next(r for r in rows if r["doc_id"] == 0)["n_tokens"] == 1
     assert wavelet.token_file_round_trip(no_docs).count() == 0
+
+
+def best_fit_decreasing(lengths, size):
+    rooms = []
+    for k in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= k]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - k)
+        else:
+            rooms.append(size - k)
+    return len(rooms)
+
+
+def test_complements_close_what_best_fit_leaves_open():
+    counts = {6: 4, 5: 4, 3: 4, 2: 12}
+    assert packing.plan(counts, 10)[1] == 8 and best_fit_decreasing([k for k, n in counts.items() for _ in range(n)], 10) == 9
+    # a triple: 10 = 5 + 2 + 2 + 1, where best fit takes 5 + 4 and leaves 1s over
+    index = packing.Complements({5: 1, 4: 1, 2: 2, 1: 1}, 10)
+    assert index.exact(5, [5]) == [4, 1] and index.triple(5, [5]) == [2, 2, 1]
+    index.take([4], 1)
+    assert index.exact(5, [5]) == [2, 2, 1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 6), max_size=12))
+def test_index_finds_a_combination_if_there_is_one(counts):
+    index = packing.Complements(counts, 30)
+    have = [k for k, n in counts.items() for _ in range(n)]
+    for gap in range(1, 31):
+        there = any(sum(c) == gap for r in (1, 2, 3) for c in itertools.combinations(have, r))
+        found = index.exact(gap, [])
+        assert bool(found) == there and (not found or sum(found) == gap and index.fits(found))
+    runs, n = packing.plan(counts, 30)
+    assert sum(r[2] for r in runs.tolist()) == len(have) and n >= -(-sum(have) // 30)
