@@ -2,42 +2,54 @@
 
 1. Equal vectors are one class with a weight, known by the least id.
 2. A first neighbour graph comes from leaves of random-hyperplane codes: `tables` codes, whose length
-   follows the number of vectors; a code shared by more than a leaf holds is dealt to several leaves.
+   follows the number of vectors; a code that more vectors share than a leaf holds is lengthened by
+   further hyperplanes, and what still shares one is dealt to several leaves.
 3. Descent: around each vector stand its neighbours and those it is a neighbour of (the nearest
    `neighbours` of each). All of these are compared with each other, and each keeps its nearest.
-4. Edges at the threshold give components. A list that holds as many links as a leaf or a centre
-   gives is saturated: others may have been cut off. Its vector is held against all vectors of other
-   components, in blocks; angles to the middles of components leave out what cannot link. Components
-   that link are one.
+   A leaf and a centre offer a vector its `NEAREST` of them.
+4. Edges at the threshold give components. A list that holds `NEAREST` links is saturated: others may
+   have been cut off. A link with an unsaturated end is in that end's list, so saturated vectors are
+   searched once more among themselves, for neighbours outside of their own component: its members
+   take no place in the enlarged lists. Components that link are one; this goes on with new leaves
+   until it finds nothing.
 5. Each component is compared with itself in blocks of vectors. There all cosines are taken in double
    precision, links are counted, and only links that connect something are put out.
 6. An audit holds a bounded sample against all vectors; while fewer than `recall` of the sampled
    vectors with links have all of these in their component, more tables and a descent with longer
-   lists follow. After the last of `rounds`, all blocks are compared.
+   lists follow. After the last of `rounds`, all blocks are compared. What was found goes to the log.
+
+Work of step 5 grows with the square of a component's size in different vectors, as its link counts
+are asked for; it is dealt to as many tasks.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and null ids, link with
-nothing. Vectors of different lengths never link. Rows with one id are one node.
+nothing. Vectors of different lengths never link. Rows with one id are one node: its links are the
+most that one of its vectors has, its component that of all of them. Of equally near neighbours the
+least id comes first. Empty table: no rows. Other columns are not looked at, so they cannot clash.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import ship, written
 from skein.llm.graph import components
 
-LEAF, TABLES, NEIGHBOURS, BLOCK = 64, 12, 8, 1024
+LEAF, TABLES, NEIGHBOURS, BLOCK = 64, 12, 8, 512
 #: Nearest that a leaf or a centre gives to a vector. A list with fewer links has had none cut off.
 NEAREST = 4
 #: Audited vectors: their number bounds what reaches the driver and what is sent to the executors.
 AUDIT, RECALL, ROUNDS = 512, 0.98, 4
 _SEARCH_SLACK = 1e-4
+#: Rounds in which saturated vectors look beyond their components, and further hyperplanes of a code.
+APART_ROUNDS, TAIL = 12, 30
+log = logging.getLogger(__name__)
 
 
 def _packed(batch_column: pa.Array) -> list[np.ndarray | None]:
@@ -78,8 +90,8 @@ def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=kind).reshape(len(rows), -1)
 
 
-def _leaves(reps: DataFrame, n: int, tables: range) -> DataFrame:
-    """u, v, sim: each vector's nearest in each of its leaves."""
+def _leaves(reps: DataFrame, n: int, tables: range, apart: float | None = None) -> DataFrame:
+    """u, v, sim: each vector's nearest in each of its leaves; with `apart`, of those of another component at least so near. reps: id, dim, unit, component."""
     bits = max(1, int(np.ceil(np.log2(max(2, n / LEAF)))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,24 +101,29 @@ def _leaves(reps: DataFrame, n: int, tables: range) -> DataFrame:
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 u = np.frombuffer(b"".join(batch.column(2).take(pa.array(at)).to_pylist()), dtype=np.float64).reshape(len(at), dim)
-                own, small = ids.take(pa.array(at)), pa.array([x.tobytes() for x in u.astype(np.float32)], pa.binary())
+                own, label, small = ids.take(pa.array(at)), batch.column(3).take(pa.array(at)), pa.array([x.tobytes() for x in u.astype(np.float32)], pa.binary())
                 for t in tables:
                     if (t, dim) not in planes:
-                        planes[t, dim] = np.random.default_rng([t, dim]).normal(size=(dim, bits))
-                    c = ((u @ planes[t, dim]) > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                        planes[t, dim] = np.random.default_rng([t, dim]).normal(size=(dim, bits + TAIL))
+                    side = (u @ planes[t, dim]) > 0
+                    c = side[:, :bits] @ (1 << np.arange(bits, dtype=np.int64))
+                    tail = side[:, bits:] @ (1 << np.arange(TAIL, dtype=np.int64))
                     keys = c + (np.int64(t) << 32) + (np.int64(dim) << 42)
-                    yield pa.RecordBatch.from_arrays([own, pa.array(keys), small], names=["u", "code", "x"])
-
-    coded = written(reps.select("id", "dim", "unit").mapInArrow(code, "u long, code long, x binary"), "codes")
-    sizes = coded.groupBy("code").agg(F.count("*").alias("n")).select("code", F.ceil(F.col("n") / LEAF).alias("parts")).filter("parts > 1")
-    leaf = coded.join(sizes, "code", "left").withColumn("part", F.pmod(F.xxhash64("u", "code"), F.coalesce("parts", F.lit(1))))
+                    yield pa.RecordBatch.from_arrays([own, label, pa.array(keys), pa.array(tail), small], names=["u", "component", "code", "tail", "x"])
+
+    coded = written(reps.select("id", "dim", "unit", "component").mapInArrow(code, "u long, component long, code long, tail long, x binary"), "codes")
+    # counted rows are written before they are joined back: only then can the join split a hot code
+    sizes = written(coded.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).select("code", F.least(F.lit(TAIL), F.ceil(F.log2(F.col("n") / LEAF))).cast("int").alias("more")), "codes-n")
+    longer = coded.join(sizes, "code", "left").withColumn("tail", F.col("tail").bitwiseAND(F.expr("shiftleft(1L, coalesce(more, 0)) - 1"))).drop("more")
+    sizes = written(longer.groupBy("code", "tail").agg(F.count("*").alias("n")).select("code", "tail", F.ceil(F.col("n") / LEAF).alias("parts")).filter("parts > 1"), "tails-n")
+    leaf = longer.join(sizes, ["code", "tail"], "left").withColumn("part", F.pmod(F.xxhash64("u", "code"), F.coalesce("parts", F.lit(1))))
     # many leaves to a group, so that small ones do not each cost a call
-    leaf = leaf.withColumn("group", F.pmod(F.xxhash64("code", "part"), F.lit(max(16, n * len(tables) // 4000))))
+    leaf = leaf.withColumn("group", F.pmod(F.xxhash64("code", "tail", "part"), F.lit(max(16, n * len(tables) // 4000))))
 
     def nearest(t: pa.Table) -> pa.Table:
-        code, part, u = t["code"].to_numpy(), t["part"].to_numpy(), t["u"].to_numpy()
-        order = np.lexsort((u, part, code))
-        cuts = np.flatnonzero((np.diff(code[order]) != 0) | (np.diff(part[order]) != 0)) + 1
+        code, tail, part, u, label = (t[c].to_numpy() for c in ("code", "tail", "part", "u", "component"))
+        order = np.lexsort((u, part, tail, code))
+        cuts = np.flatnonzero((np.diff(code[order]) != 0) | (np.diff(tail[order]) != 0) | (np.diff(part[order]) != 0)) + 1
         rows, a, b, s = t["x"].to_pylist(), [], [], []
         for at in np.split(order, cuts):
             if len(at) < 2:
@@ -114,14 +131,18 @@ def _leaves(reps: DataFrame, n: int, tables: range) -> DataFrame:
             x = np.frombuffer(b"".join([rows[i] for i in at]), dtype=np.float32).reshape(len(at), -1)
             sim = x @ x.T
             np.fill_diagonal(sim, -2)
+            if apart is not None:
+                sim[label[at][:, None] == label[at]] = -2
             k = min(NEAREST, len(at) - 1)
             best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            a.append(np.repeat(u[at], k))
-            b.append(u[at][best].ravel())
-            s.append(np.take_along_axis(sim, best, 1).ravel())
+            value = np.take_along_axis(sim, best, 1)
+            i, j = np.nonzero(value >= (-1.5 if apart is None else apart))
+            a.append(u[at][i])
+            b.append(u[at][best[i, j]])
+            s.append(value[i, j])
         return _edges(a, b, s)
 
-    return leaf.select("group", "code", "part", "u", "x").groupBy("group").applyInArrow(lambda t: nearest(t), "u long, v long, sim float")
+    return leaf.select("group", "code", "tail", "part", "u", "component", "x").groupBy("group").applyInArrow(lambda t: nearest(t), "u long, v long, sim float")
 
 
 def _edges(a: list, b: list, s: list) -> pa.Table:
@@ -166,70 +187,35 @@ def _descend(graph: DataFrame, reps: DataFrame, n: int, k: int) -> DataFrame:
     return joined.groupBy("group").applyInArrow(lambda t: local(t), "u long, v long, sim float")
 
 
-def _packed_rows(rows: DataFrame, pack: Column, name: str) -> DataFrame:
-    """rows (id, component, dim, unit) with those of one pack and length as one row."""
-
-    def join(t: pa.Table) -> pa.Table:
-        order = np.lexsort((t["id"].to_numpy(), t["component"].to_numpy()))
-        units = t["unit"].to_pylist()
-        return pa.table({"dim": t["dim"][:1], "ids": [t["id"].to_numpy()[order].tobytes()], "components": [t["component"].to_numpy()[order].tobytes()], "units": [b"".join([units[i] for i in order])]})
-
-    packed = rows.withColumn("pack", pack).groupBy("pack", "dim").applyInArrow(lambda t: join(t), "dim int, ids binary, components binary, units binary")
-    return written(packed, name)
+def _joined(near: DataFrame, reps: DataFrame, found: DataFrame, k: int, limit: float, tables: range) -> DataFrame:
+    """found (node, component) with components made one where saturated vectors of them link."""
+    saturated = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links")).filter(F.col("links") >= min(NEAREST, k)).select("id")
+    saturated = written(reps.select("id", "dim", "unit").join(saturated, "id", "left_semi").join(found.withColumnRenamed("node", "id"), "id"), "saturated")
+    n = saturated.count()
+    for i in range(APART_ROUNDS if n else 0):
+        start = tables.start + i * len(tables)
+        links = _leaves(saturated, n, range(start, start + len(tables)), limit - _SEARCH_SLACK)
+        # only which components link is needed of them
+        pairs = links.join(found.toDF("u", "a"), "u").join(found.toDF("v", "b"), "v").select("a", "b").distinct()
+        pairs = written(pairs, "apart")
+        if pairs.isEmpty():
+            break
+        merged = written(components(pairs, "apart"), "merged").toDF("component", "into")
+        relabel = lambda df: df.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
+        found = written(relabel(found).select("node", "component"), "joined")
+        saturated = written(relabel(saturated).select("id", "dim", "unit", "component"), "saturated")
+    return found
 
 
-def _bridges(near: DataFrame, reps: DataFrame, found: DataFrame, n: int, k: int, limit: float) -> DataFrame:
-    """a, b: links of saturated vectors with other components, one at least for each two components that have any."""
-    saturated = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links")).filter(F.col("links") >= min(NEAREST, k)).select("id")
-    rows = reps.select("id", "dim", "unit").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "dim", "unit")
-    full = written(rows.join(saturated, "id", "left_semi"), "saturated")
-    # a component's vectors share a pack, or fill several
-    sizes = full.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    full = full.join(sizes, "component")
-    packs = max(1, -(-full.count() // BLOCK))
-    ours = _packed_rows(full, F.pmod(F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("parts"))), F.lit(packs)), "packs")
-    all_packs = _packed_rows(rows, F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK)))), "all-packs")
-    room = np.arccos(np.clip(limit, -1, 1)) + 1e-6
-
-    def unpacked(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.frombuffer(row[f"ids{side}"], dtype=np.int64), np.frombuffer(row[f"components{side}"], dtype=np.int64), np.frombuffer(row[f"units{side}"], dtype=np.float64).reshape(-1, row[f"dim{side}"])
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["dim1"] != row["dim2"]:
-                    continue
-                (u, cu, x), (v, cv, y) = unpacked(row, "1"), unpacked(row, "2")
-                starts = np.flatnonzero(np.diff(cu, prepend=cu[0] - 1))
-                groups = np.split(np.arange(len(u)), starts[1:])
-                # of vectors that cancel out each other any may be the middle
-                middles = np.stack([m / r if (r := np.linalg.norm(m := x[g].sum(0))) > 1e-6 else x[g[0]] for g in groups])
-                wide = np.array([np.arccos(np.clip((x[g] @ m).min(), -1, 1)) for g, m in zip(groups, middles, strict=True)])
-                may = (np.arccos(np.clip(y @ middles.T, -1, 1)) <= wide + room) & (cv[:, None] != cu[starts])
-                a, b = [], []
-                for j in np.flatnonzero(may.any(0)):
-                    at = np.flatnonzero(may[:, j])
-                    link = y[at] @ x[groups[j]].T >= limit - 1e-9
-                    hit = np.flatnonzero(link.any(1))
-                    hit = hit[np.unique(cv[at[hit]], return_index=True)[1]]  # one for each two components
-                    a.append(v[at[hit]])
-                    b.append(u[groups[j][link[hit].argmax(1)]])
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}{s}") for c in df.columns))
-    return written(side(all_packs, "2").crossJoin(side(ours, "1")).mapInArrow(across, "a long, b long"), "bridges")
-
-
-def _exact(found: DataFrame, reps: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+def _exact(found: DataFrame, reps: DataFrame, n: int, limit: float) -> tuple[DataFrame, DataFrame]:
     """found: node, component. Per vector and block pair its number of links (u, n), and links that connect (a, b)."""
-    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = written(found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     placed = found.join(sizes, "component").join(reps.select(F.col("id").alias("node"), "unit", "weight"), "node")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    # small components share calls: `pack` is the component itself where it has several blocks
-    many = F.col("blocks") > 1
-    rows = placed.select("component", "block", "node", "unit", "weight", "blocks", other).select(F.when(many, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(4096))).alias("pack"), F.when(many, F.least("block", "other")).otherwise(F.lit(-1)).alias("lo"), F.greatest("block", "other").alias("hi"), "component", "block", "node", "unit", "weight")
+    # small components share calls, of about a block together: `pack` is the component itself where it has several blocks
+    many, packs = F.col("blocks") > 1, max(16, -(-n // BLOCK))
+    rows = placed.select("component", "block", "node", "unit", "weight", "blocks", other).select(F.when(many, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(packs))).alias("pack"), F.when(many, F.least("block", "other")).otherwise(F.lit(-1)).alias("lo"), F.greatest("block", "other").alias("hi"), "component", "block", "node", "unit", "weight")
 
     def count(t: pa.Table) -> pa.Table:
         comp, node, weight, block = (t[c].to_numpy() for c in ("component", "node", "weight", "block"))
@@ -264,8 +250,8 @@ def _exact(found: DataFrame, reps: DataFrame, limit: float) -> tuple[DataFrame,
     return out.filter(~F.col("edge")).groupBy(F.col("a").alias("u")).agg(F.sum("b").alias("n")), out.filter("edge").select("a", "b")
 
 
-def _audit(reps: DataFrame, found: DataFrame, limit: float, most: int) -> float:
-    """The share of the sample's vectors with links, by brute force over all vectors, that share a component with all they link with."""
+def _audit(reps: DataFrame, found: DataFrame, limit: float, most: int) -> tuple[float | None, int]:
+    """Of the sample's vectors with links, by brute force over all vectors: the share that has all of these in its component, and their number. None without any."""
     sample = reps.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "dim", "unit").collect()
     ids, dims = np.array([r["id"] for r in sample], dtype=np.int64), np.array([r["dim"] for r in sample])
     own = {d: (ids[dims == d], np.stack([np.frombuffer(r["unit"], dtype=np.float64) for r in sample if r["dim"] == d])) for d in set(dims.tolist())}
@@ -285,8 +271,8 @@ def _audit(reps: DataFrame, found: DataFrame, limit: float, most: int) -> float:
     x, y = found.toDF("a", "ca"), found.toDF("b", "cb")
     # per vector: one in a large group counts as much as one of a pair
     whole = truth.join(x, "a", "left").join(y, "b", "left").groupBy("b").agg(F.min(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("int")).alias("whole"))
-    share = whole.agg(F.avg("whole")).first()[0]
-    return 1.0 if share is None else share
+    r = whole.agg(F.avg("whole").alias("share"), F.count("*").alias("n")).first()
+    return r["share"], r["n"]
 
 
 def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", limit: float = 0.95, tables: int = TABLES, neighbours: int = NEIGHBOURS, recall: float = RECALL, audit: int = AUDIT, rounds: int = ROUNDS) -> DataFrame:
@@ -294,27 +280,29 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     ship(rows.sparkSession)
     all_rows = written(_vectors(rows, vec_id, embedding), "vectors")
     good = all_rows.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
-    classes = good.groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight"))
+    classes = written(good.groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight")), "classes")
     members = written(good.select("id", "key").join(classes, "key").select("id", "rep", "weight").distinct(), "members")
     reps = good.join(classes.withColumnRenamed("rep", "id"), ["key", "id"]).select("id", "dim", "unit", "weight").dropDuplicates(["id"])
     reps = written(reps, "reps")
     n = reps.count()
+    plain = reps.withColumn("component", F.col("id"))
     graph, k = None, neighbours
     for i in range(rounds):
-        more = _leaves(reps, n, range(i * tables, (i + 1) * tables)) if i == 0 else _leaves(reps, n, range(i * tables, i * tables + tables // 2))
+        more = _leaves(plain, n, range(i * tables, (i + 1) * tables) if i == 0 else range(i * tables, i * tables + tables // 2))
         graph = written(_nearest(more if graph is None else graph.select("u", "v", "sim").union(more), k), "graph")
         graph = written(_nearest(graph.select("u", "v", "sim").union(_descend(graph, reps, n, k)), k), "graph")
         near = graph.filter(F.col("sim") >= limit - _SEARCH_SLACK).select(F.col("u").alias("a"), F.col("v").alias("b"))
         found = written(components(near, "near"), "near")
-        more = _bridges(near, reps, found, n, k, limit)
-        if not more.isEmpty():
-            found = written(components(near.union(more), "bridged"), "bridged")
-        if _audit(reps, found, limit, audit) >= recall:
+        found = _joined(near, reps, found, k, limit, range(100 * (i + 1), 100 * (i + 1) + tables // 2))
+        share, held = _audit(reps, found, limit, audit)
+        log.info("round %d: %s of %d audited vectors with links have all of them in their component", i + 1, share, held)
+        if share is None or share >= recall:
             break
         k *= 2
     else:  # the search finds too little: each two vectors of one length are compared
+        log.warning("recall stayed below %s: all blocks are compared", recall)
         found = reps.select(F.col("id").alias("node"), F.col("dim").cast("long").alias("component"))
-    links, connect = _exact(found, reps, limit)
+    links, connect = _exact(found, reps, n, limit)
     edges = connect.union(members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     label = components(edges, "linked")
     mine = members.join(links.withColumnRenamed("u", "rep"), "rep", "left").groupBy("id").agg(F.max(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))

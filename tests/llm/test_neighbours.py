@@ -86,3 +86,41 @@ def test_search_that_finds_too_little_is_made_exact(spark, monkeypatch):
     vectors |= {200 + i: (np.array(vectors[i]) * 1.5 + 0.01).tolist() for i in range(20)}
     rows = neighbours.near_vectors(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"), rounds=1).collect()
     assert got(rows) == brute(vectors)
+
+
+def planted(seed=9, dims=48):
+    """Thousands of pairs near the limit, families of three to forty, one of 400, and vectors alone."""
+    rng = np.random.default_rng(seed)
+    x = [rng.normal(size=dims) for _ in range(1500)]
+    near = lambda v, spread: v + rng.normal(size=dims) * np.linalg.norm(v) / np.sqrt(dims) * spread
+    for _ in range(1500):
+        v = rng.normal(size=dims)
+        x += [v, near(v, 0.3)]
+    for size in [3, 4, 6, 10, 25, 40] * 8 + [400]:
+        v = rng.normal(size=dims)
+        x += [near(v, 0.2) for _ in range(size)]
+    order = rng.permutation(len(x))
+    return {i: x[j].tolist() for i, j in enumerate(order.tolist())}
+
+
+def test_recall_of_planted_links(spark):
+    vectors = planted()
+    want = brute(vectors)
+    have = got(neighbours.near_vectors(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")).collect())
+    links = sum(n for n, _ in want.values())
+    assert links > 80_000 and all(have[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in have.values()) >= 0.98 * links
+    # by vector, so that the large family does not stand for the pairs
+    linked = [i for i in want if want[i][0]]
+    assert sum(have[i] == want[i] for i in linked) >= 0.98 * len(linked)
+
+
+def test_descent_finds_what_leaves_miss(spark):
+    vectors = planted()
+    rows = neighbours._vectors(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    reps = rows.select("id", "dim", "unit").withColumn("component", F.col("id")).persist()
+    n = len(vectors)
+    graph = neighbours._nearest(neighbours._leaves(reps, n, range(2)), 8).persist()
+    after = neighbours._nearest(graph.select("u", "v", "sim").union(neighbours._descend(graph, reps, n, 8)), 8)
+    links = lambda g: g.filter("sim >= 0.95").count()
+    assert links(after) > 1.1 * links(graph)
