@@ -160,3 +160,102 @@ def test_long_jwt_is_one_secret(spark):
     docs = spark.createDataFrame([(1, f"see {token} end")], "doc_id long, text string")
     assert f"jwt:4:{4 + len(token)}" in secrets.secret_digests(docs).first()["spans"].split(",")
     assert secrets.redact(docs).first()["text"] == "see [SECRET] end"
+
+
+def contexts_brute(texts, support=pii.SUPPORT, accept=pii.ACCEPT):
+    """The added spans, pattern by pattern and place by place."""
+    flags = re.ASCII
+    rules = [(re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"), lambda m: True)]
+    rules.append((re.compile(pii.IP), lambda m: all(int(p) <= 255 for p in m.split("."))))
+    rules.append((re.compile(pii.CARD), luhn))
+    rules.append((re.compile(pii.PHONE), lambda m: 8 <= sum(c.isdigit() for c in m) <= 15))
+
+    def patterns(before, after):
+        w = re.sub(r"[\s(\[{<\"']+$", "", before.lower(), flags=flags).split()
+        n = re.sub(r"^[.,;:!?)\]}>\"']*\s*", "", after.lower(), flags=flags).split()
+        out = [f"{k}:{' '.join(w[-k:])}" for k in (1, 2, 3) if len(w) >= k]
+        out += [f"r:{n[0]}"] if n else []
+        return [p for p in out + ([f"b:{w[-1]} _ {n[0]}"] if w and n else []) if pii.BLANK not in p]
+
+    def places(text, found, known):
+        ends = [0, *(m.end() for m in found)]
+        starts = [*(m.start() for m in found), len(text)]
+        return [(m[0], m.start(), m.end(), known, patterns(text[ends[i] : m.start()], text[m.end() : starts[i + 1]])) for i, m in enumerate(found)]
+
+    seen = {}
+    for d, text in texts.items():
+        rest, rows = text, []
+        for rule, ok in rules:
+            rows += [p for p in places(text, list(rule.finditer(text)), True) if ok(p[0])]
+            rest = rule.sub(lambda m, ok=ok: pii.BLANK * len(m[0]) if ok(m[0]) else m[0], rest)
+        rows += [p for p in places(rest, list(re.finditer(pii.TOKEN, rest, flags)), False) if sum(c.isdigit() for c in p[0]) >= 3]
+        seen[d] = rows
+    edges = {}
+    for rows in seen.values():
+        for value, _, _, known, ps in rows:
+            for p in ps:
+                e = edges.setdefault((p, value), [False, 0])
+                e[0] |= known
+                e[1] += 1
+    wide = {p for p in {p for p, _ in edges} if sum(q == p for q, _ in edges) >= support}
+    count = dict.fromkeys(wide, 0)
+    for text in texts.values():
+        w = re.split(r"\s+", text.lower(), flags=flags)
+        for i, x in enumerate(w):
+            at = lambda j: w[j] if 0 <= j < len(w) else None
+            for p in (f"1:{x}", f"2:{at(i - 1)} {x}", f"3:{at(i - 2)} {at(i - 1)} {x}", f"r:{x}", f"b:{x} _ {at(i + 2)}"):
+                if p in count:
+                    count[p] += 1
+    edges = {e: v for e, v in edges.items() if e[0] in wide}
+    count = {p: max(n, sum(v[1] for (q, _), v in edges.items() if q == p)) for p, n in count.items()}
+    score = {}
+    for (_, value), (known, _) in edges.items():
+        score[value] = max(score.get(value, 0.0), float(known))
+    fixed = {v for v, s in score.items() if s}
+    while True:
+        strength = {p: sum(score[v] * n for (q, v), (_, n) in edges.items() if q == p) / count[p] for p in wide if sum(score[v] >= accept for q, v in edges if q == p) >= support}
+        new = {v: 1.0 if v in fixed else max((strength.get(p, 0.0) for p, w in edges if w == v), default=0.0) for v in score}
+        new = {v: s if s >= accept else 0.0 for v, s in new.items()}
+        if max((abs(new[v] - score[v]) for v in new), default=0) <= pii.SETTLED / 10:
+            break
+        score = new
+    strong = {p for p, s in strength.items() if s >= accept}
+    return {d: sorted((s, e) for value, s, e, known, ps in rows if not known and any(p in strong and edges.get((p, value), [True])[0] is False for p in ps) and score.get(value, 0) >= accept) for d, rows in seen.items()}
+
+
+def test_added_spans_equal_a_direct_bootstrap(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: rng.choice("the of and or in on by to report place order number".split())
+    prose = lambda n: " ".join(word() for _ in range(n))
+    texts = []
+    for i in range(14):
+        texts.append(f"{prose(4)} contact card {rng.randrange(10)}.{i}.1.2 expires {prose(3)}")  # left: contact card; right: expires
+        texts.append(f"{prose(3)} (write to me{i}@mail.example) {prose(2)}")
+    for i in range(8):
+        texts.append(f"{prose(5)} contact card XK-10{i}22 expires {prose(3)}")  # found by what stands around
+        texts.append(f"{prose(5)} holds XK-10{i}22 expires {prose(2)}")
+        texts.append(f"{prose(2)} holds ZZ/77{i}9 {prose(2)}")  # lifted by the ones before
+        texts.append(f"order number 55{i}00{i} {prose(6)}, order 9{i}9-{i}{i}")
+    texts += [texts[0], "", "1.2.3.4 5.6.7.8 +1 (377) 555-0271 4111 1111 1111 1111", "(AB12345) [CD-678-90]. expires"]
+    texts = dict(enumerate(texts))
+    rows = pii.find_personal_data(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = contexts_brute(texts)
+    have = {r["doc_id"]: [(s["start"], s["end"]) for s in r["extra"]] for r in rows}
+    assert have == want and sum(map(bool, want.values())) >= 16
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 matches: running sums go by chunks, masking by stretches."""
+    import time
+
+    n = 100_000
+    text = " ".join(f"u{i}@x.yz" for i in range(n))
+    start = time.time()
+    r = pii.personal_data_digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r["n_email"] == n and r["base_sha256"] == digest([("email", m.start(), m.end()) for m in re.finditer(r"\S+", text)])
+    assert time.time() - start < 60
+    text = " ".join(f"é AKIAABCDEFGHIJ{i:06d}" for i in range(20_000))
+    out = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert out == " ".join("é [SECRET]" for _ in range(20_000))
