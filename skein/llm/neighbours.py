@@ -49,6 +49,8 @@ AUDIT, RECALL, ROUNDS = 512, 0.98, 4
 _SEARCH_SLACK = 1e-4
 #: Rounds in which saturated vectors look beyond their components, and further hyperplanes of a code.
 APART_ROUNDS, TAIL = 12, 30
+#: Bytes of counts up to which they are broadcast.
+MOST_BROADCAST = 8 << 20
 log = logging.getLogger(__name__)
 
 
@@ -73,25 +75,22 @@ def _unit(a: np.ndarray) -> np.ndarray:
 
 
 def _vectors(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """id, key (digest of the vector), dim, unit (doubles as bytes); key is null where nothing can link."""
+    """id, key (digest of the vector), dim, unit (doubles as bytes), x (the same in single precision); key is null where nothing can link."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vs = _packed(batch.column(1))
             units = [None if v is None else _unit(v).tobytes() for v in vs]
             keys = [None if u is None else xxhash.xxh3_128_digest(u) for u in units]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([0 if v is None else len(v) for v in vs], pa.int32()), pa.array(units, pa.binary())], names=["id", "key", "dim", "unit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([0 if v is None else len(v) for v in vs], pa.int32()), pa.array(units, pa.binary()), pa.array([None if u is None else np.frombuffer(u).astype(np.float32).tobytes() for u in units], pa.binary())], names=["id", "key", "dim", "unit", "x"])
 
-    return rows.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e")).mapInArrow(prepare, "id long, key binary, dim int, unit binary")
+    return rows.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e")).mapInArrow(prepare, "id long, key binary, dim int, unit binary, x binary")
 
 
-def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype=kind).reshape(len(rows), -1)
 
 
 def _leaves(reps: DataFrame, n: int, tables: range, apart: float | None = None) -> DataFrame:
-    """u, v, sim: each vector's nearest in each of its leaves; with `apart`, of those of another component at least so near. reps: id, dim, unit, component."""
+    """u, v, sim: each vector's nearest in each of its leaves; with `apart`, of those of another component at least so near. reps: id, dim, x, component."""
     bits = max(1, int(np.ceil(np.log2(max(2, n / LEAF)))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,23 +99,25 @@ def _leaves(reps: DataFrame, n: int, tables: range, apart: float | None = None)
             ids, dims = batch.column(0), batch.column(1).to_numpy()
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                u = np.frombuffer(b"".join(batch.column(2).take(pa.array(at)).to_pylist()), dtype=np.float64).reshape(len(at), dim)
-                own, label, small = ids.take(pa.array(at)), batch.column(3).take(pa.array(at)), pa.array([x.tobytes() for x in u.astype(np.float32)], pa.binary())
+                x = np.frombuffer(b"".join(batch.column(2).take(pa.array(at)).to_pylist()), dtype=np.float32).reshape(len(at), dim)
+                own, label = ids.take(pa.array(at)), batch.column(3).take(pa.array(at))
                 for t in tables:
                     if (t, dim) not in planes:
-                        planes[t, dim] = np.random.default_rng([t, dim]).normal(size=(dim, bits + TAIL))
-                    side = (u @ planes[t, dim]) > 0
+                        planes[t, dim] = np.random.default_rng([t, dim]).normal(size=(dim, bits + TAIL)).astype(np.float32)
+                    side = (x @ planes[t, dim]) > 0
                     c = side[:, :bits] @ (1 << np.arange(bits, dtype=np.int64))
                     tail = side[:, bits:] @ (1 << np.arange(TAIL, dtype=np.int64))
                     keys = c + (np.int64(t) << 32) + (np.int64(dim) << 42)
-                    yield pa.RecordBatch.from_arrays([own, label, pa.array(keys), pa.array(tail), small], names=["u", "component", "code", "tail", "x"])
+                    yield pa.RecordBatch.from_arrays([own, label, pa.array(keys), pa.array(tail)], names=["u", "component", "code", "tail"])
 
-    coded = written(reps.select("id", "dim", "unit", "component").mapInArrow(code, "u long, component long, code long, tail long, x binary"), "codes")
+    # codes are few bytes; the vectors themselves move once, when the leaves are known
+    coded = written(reps.select("id", "dim", "x", "component").mapInArrow(code, "u long, component long, code long, tail long"), "codes")
     # counted rows are written before they are joined back: only then can the join split a hot code
-    sizes = written(coded.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).select("code", F.least(F.lit(TAIL), F.ceil(F.log2(F.col("n") / LEAF))).cast("int").alias("more")), "codes-n")
+    sizes = _counted(coded.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).select("code", F.least(F.lit(TAIL), F.ceil(F.log2(F.col("n") / LEAF))).cast("int").alias("more")), "codes-n")
     longer = coded.join(sizes, "code", "left").withColumn("tail", F.col("tail").bitwiseAND(F.expr("shiftleft(1L, coalesce(more, 0)) - 1"))).drop("more")
-    sizes = written(longer.groupBy("code", "tail").agg(F.count("*").alias("n")).select("code", "tail", F.ceil(F.col("n") / LEAF).alias("parts")).filter("parts > 1"), "tails-n")
-    leaf = longer.join(sizes, ["code", "tail"], "left").withColumn("part", F.pmod(F.xxhash64("u", "code"), F.coalesce("parts", F.lit(1))))
+    sizes = _counted(longer.groupBy("code", "tail").agg(F.count("*").alias("n")).select("code", "tail", F.ceil(F.col("n") / LEAF).alias("parts")).filter("parts > 1"), "tails-n")
+    leaf = longer.join(sizes, ["code", "tail"], "left").withColumn("part", F.pmod(F.xxhash64("u", "code"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    leaf = leaf.join(reps.select(F.col("id").alias("u"), "x"), "u")
     # many leaves to a group, so that small ones do not each cost a call
     leaf = leaf.withColumn("group", F.pmod(F.xxhash64("code", "tail", "part"), F.lit(max(16, n * len(tables) // 4000))))
 
@@ -145,6 +146,12 @@ def _leaves(reps: DataFrame, n: int, tables: range, apart: float | None = None)
     return leaf.select("group", "code", "tail", "part", "u", "component", "x").groupBy("group").applyInArrow(lambda t: nearest(t), "u long, v long, sim float")
 
 
+def _counted(sizes: DataFrame, name: str) -> DataFrame:
+    """sizes written, and broadcast where they are few."""
+    sizes = written(sizes, name)
+    return F.broadcast(sizes) if sizes.count() * 24 <= MOST_BROADCAST else sizes
+
+
 def _edges(a: list, b: list, s: list) -> pa.Table:
     join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
     return pa.table({"u": join(a, np.int64), "v": join(b, np.int64), "sim": join(s, np.float32)})
@@ -161,17 +168,17 @@ def _descend(graph: DataFrame, reps: DataFrame, n: int, k: int) -> DataFrame:
     back = graph.select(F.col("v").alias("c"), F.col("u").alias("m"), F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u")).alias("q")).filter(F.col("q") <= k).drop("q")
     around = graph.select(F.col("u").alias("c"), F.col("v").alias("m")).union(back).union(graph.select(F.col("u").alias("c"), F.col("u").alias("m"))).distinct()
     low = graph.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("n")).select(F.col("u").alias("m"), F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-1.0)).cast("float").alias("low"))
-    small = reps.select(F.col("id").alias("m"), "unit").join(low, "m")
+    small = reps.select(F.col("id").alias("m"), "x").join(low, "m")
     group = F.pmod(F.xxhash64("c"), F.lit(max(16, n // 400))).alias("group")
 
     def local(t: pa.Table) -> pa.Table:
         c, m, low = t["c"].to_numpy(), t["m"].to_numpy(), t["low"].to_numpy()
         order = np.argsort(c, kind="stable")
-        rows, a, b, s = t["unit"].to_pylist(), [], [], []
+        rows, a, b, s = t["x"].to_pylist(), [], [], []
         for at in np.split(order, np.flatnonzero(np.diff(c[order])) + 1):
             if len(at) < 2:
                 continue
-            x = np.frombuffer(b"".join([rows[i] for i in at]), dtype=np.float64).reshape(len(at), -1).astype(np.float32)
+            x = np.frombuffer(b"".join([rows[i] for i in at]), dtype=np.float32).reshape(len(at), -1)
             sim = x @ x.T
             np.fill_diagonal(sim, -2)
             most = min(NEAREST, len(at) - 1)
@@ -183,14 +190,14 @@ def _descend(graph: DataFrame, reps: DataFrame, n: int, k: int) -> DataFrame:
             s.append(value[i, j])
         return _edges(a, b, s)
 
-    joined = around.join(small, "m").select(group, "c", "m", "low", "unit")
+    joined = around.join(small, "m").select(group, "c", "m", "low", "x")
     return joined.groupBy("group").applyInArrow(lambda t: local(t), "u long, v long, sim float")
 
 
 def _joined(near: DataFrame, reps: DataFrame, found: DataFrame, k: int, limit: float, tables: range) -> DataFrame:
     """found (node, component) with components made one where saturated vectors of them link."""
     saturated = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links")).filter(F.col("links") >= min(NEAREST, k)).select("id")
-    saturated = written(reps.select("id", "dim", "unit").join(saturated, "id", "left_semi").join(found.withColumnRenamed("node", "id"), "id"), "saturated")
+    saturated = written(reps.select("id", "dim", "x").join(saturated, "id", "left_semi").join(found.withColumnRenamed("node", "id"), "id"), "saturated")
     n = saturated.count()
     for i in range(APART_ROUNDS if n else 0):
         start = tables.start + i * len(tables)
@@ -203,7 +210,7 @@ def _joined(near: DataFrame, reps: DataFrame, found: DataFrame, k: int, limit: f
         merged = written(components(pairs, "apart"), "merged").toDF("component", "into")
         relabel = lambda df: df.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
         found = written(relabel(found).select("node", "component"), "joined")
-        saturated = written(relabel(saturated).select("id", "dim", "unit", "component"), "saturated")
+        saturated = written(relabel(saturated).select("id", "dim", "x", "component"), "saturated")
     return found
 
 
@@ -282,7 +289,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     good = all_rows.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
     classes = written(good.groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight")), "classes")
     members = written(good.select("id", "key").join(classes, "key").select("id", "rep", "weight").distinct(), "members")
-    reps = good.join(classes.withColumnRenamed("rep", "id"), ["key", "id"]).select("id", "dim", "unit", "weight").dropDuplicates(["id"])
+    reps = good.join(classes.withColumnRenamed("rep", "id"), ["key", "id"]).select("id", "dim", "unit", "x", "weight").dropDuplicates(["id"])
     reps = written(reps, "reps")
     n = reps.count()
     plain = reps.withColumn("component", F.col("id"))

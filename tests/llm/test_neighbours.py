@@ -118,7 +118,7 @@ def test_recall_of_planted_links(spark):
 def test_descent_finds_what_leaves_miss(spark):
     vectors = planted()
     rows = neighbours._vectors(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"), "vec_id", "embedding")
-    reps = rows.select("id", "dim", "unit").withColumn("component", F.col("id")).persist()
+    reps = rows.select("id", "dim", "x").withColumn("component", F.col("id")).persist()
     n = len(vectors)
     graph = neighbours._nearest(neighbours._leaves(reps, n, range(2)), 8).persist()
     after = neighbours._nearest(graph.select("u", "v", "sim").union(neighbours._descend(graph, reps, n, 8)), 8)
