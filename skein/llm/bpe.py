@@ -39,7 +39,8 @@ class RankBPE:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("dropout"):
             raise ValueError("only plain byte-level BPE files are read")
-        if not by_word(spec):
+        added = spec["added_tokens"]
+        if any(x["normalized"] or x["lstrip"] or x["rstrip"] for x in added) or not by_word(spec["normalizer"], spec["pre_tokenizer"], spec["post_processor"], [x["content"] for x in added]):
             raise ValueError("the file has other rules of normalisation or splitting")
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]

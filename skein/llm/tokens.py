@@ -43,10 +43,13 @@ def byte_letters() -> list[str]:
 _LETTERS = dict(enumerate(byte_letters()))
 
 
-def by_word(spec: dict) -> bool:
+def by_word(normalizer: dict | None, split: dict | None, after: object, specials: list[str]) -> bool:
     """Whether a vocabulary file has the rules under which the words of a text stand for themselves."""
-    plain = all(not x["normalized"] and not x["lstrip"] and not x["rstrip"] and not any(c.isspace() for c in x["content"]) for x in spec["added_tokens"])
-    return spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == SPLIT and spec["post_processor"] is None and spec["model"]["type"] == "BPE" and plain
+    return normalizer == NORMALIZER and split == SPLIT and after is None and not any(c.isspace() for x in specials for c in x)
+
+
+def _rules(part: object) -> dict | None:
+    return json.loads(part.__getstate__()) if part is not None else None
 
 
 class WordIds(dict):
@@ -60,7 +63,8 @@ class WordIds(dict):
         self.lib.no_truncation()
         self.lib.no_padding()
         self.model, self.most, self.stems = self.lib.model, most, {}
-        self.by_word = by_word(json.loads(self.lib.to_str()))
+        added = self.lib.get_added_tokens_decoder().values()
+        self.by_word = not any(x.normalized or x.lstrip or x.rstrip for x in added) and by_word(_rules(self.lib.normalizer), _rules(self.lib.pre_tokenizer), self.lib.post_processor, [x.content for x in added])
         self.four = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size())]
 
     def library(self, word: str) -> bytes:
