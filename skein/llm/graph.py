@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import written
+from skein.llm.common import discard, written
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
@@ -23,13 +23,15 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         if not mark[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{i}m")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        first = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{i}m")
+        large = both.filter("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, f"{name}-{i}a")
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{i}n")
+        discard(first)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = written(small.filter("u <> v").distinct(), f"{name}-{i}b")
-        new = _mark(now)
+        new = written(small.filter("u <> v").distinct(), f"{name}-{i}b")
+        discard(now, large, least)
+        now, new = new, _mark(new)
         if new == mark:
             break
         mark = new

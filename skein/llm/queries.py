@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, html, langid, minhash, neighbours, packing, pii, quality, secrets, wavelet
+from skein.llm import bpe, html, langid, minhash, neighbours, oracle, packing, pii, quality, secrets, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,35 +66,6 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_minhash_near_dedup, op2_html_extraction, op3_best_fit_packing, op4_embedding_near_dedup, op5_language_id, op6_token_files, op7_quality_rules, op8_pii, op9_secret_scan, op10_bpe)}
 
 
-def _op7_sql() -> str:
-    """Repetition coverage by windows over words. `[^ \\t-\\r]` is written with escapes that both engines read."""
-    word, parts, joins, over = "[^\\x20\\x09-\\x0D]+", [], [], []
-    for n, most in quality.LIMITS:
-        gram = " || ' ' || ".join(["w", *(f"lead(w, {j}) OVER p" for j in range(1, n))])
-        parts.append(
-            f"g{n} AS (SELECT doc_id, i, w, {gram} AS g FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)), "
-            f"r{n} AS (SELECT doc_id, i, w, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 THEN 1 ELSE 0 END AS r FROM g{n}), "
-            f"m{n} AS (SELECT doc_id, w, max(r) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS m FROM r{n}), "
-            f"c{n} AS (SELECT doc_id, sum(m) AS k{n}, sum(m * length(w)) AS ch{n} FROM m{n} GROUP BY doc_id)"
-        )
-        joins.append(f"LEFT JOIN c{n} USING (doc_id)")
-        over.append(f"(word_chars > 0 AND CAST(coalesce(ch{n}, 0) AS DOUBLE) / word_chars > CAST({most} AS DOUBLE))")
-    over += [f"(word_chars > 0 AND CAST(coalesce(line_chars, 0) AS DOUBLE) / word_chars > CAST({quality.LINE_LIMIT} AS DOUBLE))", f"n_symbols > CAST({quality.SYMBOL_LIMIT} AS DOUBLE) * word_chars"]
-    failed = f"(n_words < {quality.MIN_WORDS} OR 100 * coalesce(k5, 0) > {quality.BASE_PERCENT} * n_words)"
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-s AS (SELECT doc_id, text, regexp_extract_all(text, '{word}') AS ws FROM d),
-w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM s),
-{", ".join(parts)},
-l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-l AS (SELECT doc_id, line, count(*) AS n FROM l0 WHERE regexp_matches(line, '{word}') GROUP BY doc_id, line),
-dup AS (SELECT doc_id, sum(n - 1) AS dup, sum((n - 1) * length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) AS line_chars FROM l GROUP BY doc_id),
-b AS (SELECT s.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
-  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM s)
-SELECT doc_id, n_words, word_chars, n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(k5, 0) AS BIGINT) AS n_repeat_words,
-  {failed} AS base_failed, NOT {failed} AND NOT ({" OR ".join(over)}) AS kept
-FROM b LEFT JOIN dup USING (doc_id) {" ".join(joins)}"""
-
-
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express. The others are held against brute force, round trips or held-out rows in tests."""
-    return {"op7_quality_rules": _op7_sql()}
+    return oracle.SQL

@@ -5,18 +5,23 @@ version of the rules, the findings. A run content-addresses all versions, leaves
 the ledger has under the current rules, scans one text of each other blob, appends to the ledger
 and joins the findings back to all paths and versions. A new version of the rules scans all anew.
 
-Null text: empty, no findings. Equal rows: equal findings. Extra columns are not looked at.
+Null text: empty, no findings; redacted it stays null. Empty text: no findings. Very long texts are
+searched whole. Rows that agree in all keys: each has the same findings. Findings of one start go in
+the order of the rules. Empty table: no rows. Extra columns are not looked at; redaction keeps them,
+and the names it needs are chosen so that they do not clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from skein.llm.common import free_name, new_path, written
-from skein.llm.spans import find, listed, masked, of_kind
+from skein.llm.spans import empty, find, listed, masked, of_kind
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
@@ -26,8 +31,8 @@ RULES = (
     # A run too short has no longer one within it, so these two ask for the length at once: short runs are nearly every word.
     ("access", r"AKIA[A-Z0-9]{14,}", "AKIA", 18),
     ("hex", r"[0-9a-f]{16,}", r"[0-9a-f]{16}", 16),
-    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "PRIVATE KEY-----", 1),
-    ("github", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,255}(?![A-Za-z0-9])", "gh[pousr]_", 1),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "PRIVATE KEY-----", 1),
+    ("github", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}+", "gh[pousr]_", 1),
     ("jwt", r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", r"eyJ.*\.eyJ", 1),
 )
 RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
@@ -35,6 +40,8 @@ FINDINGS = "array<struct<start:int,k:int,kind:string,end:int>>"
 LEDGER = f"blob string, rule_version string, findings {FINDINGS}"
 #: Copies that are not scanned are broadcast up to this many bytes of keys; beyond, they are joined by shuffle.
 MOST_BROADCAST, KEY_BYTES = 8 << 20, 96
+#: Versions of one blob that one key holds when findings are joined back by shuffle.
+HOT = 100_000
 
 
 def _passes(head: str | None, least: int):
@@ -52,6 +59,18 @@ def scan_text(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
+def _seen(spark: SparkSession, ledger: str, rule_version: str) -> DataFrame | None:
+    """Blobs that the ledger has under these rules; None where there is no ledger yet."""
+    try:
+        known = spark.read.schema(LEDGER).parquet(ledger)
+        known.isEmpty()  # a client without a catalogue of its own notices a missing folder only here
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return known.filter(F.col("rule_version") == rule_version).select("blob").distinct()
+
+
 def scan_versions(versions: DataFrame, ledger: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """One row per version: its keys, blob and findings. ledger: a folder, which may not yet be there; it is appended to."""
     spark = versions.sparkSession
@@ -59,26 +78,36 @@ def scan_versions(versions: DataFrame, ledger: str, keys: tuple[str, ...] = ("do
     rows = versions.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), blob.alias("blob"))
     rows = written(rows, "versions")
     names = [f"k{i}" for i in range(len(keys))]
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
-    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
-        seen = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rule_version") == rule_version).select("blob").distinct()
-    else:
-        seen = rows.select("blob").filter(F.lit(False))
+    seen = _seen(spark, ledger, rule_version)
     # the version that stands for its blob is the one with the lowest hash of its keys: no text is needed to choose it
-    place = F.xxhash64(*names)
-    # grouped rows are written before they are joined back: only then can the join split a hot blob
-    chosen = written(rows.groupBy("blob").agg(F.min(place).alias("at")), "chosen")
-    skipped = rows.join(chosen, "blob").filter(place != F.col("at")).select("blob", place.alias("p"))
-    known = rows.join(seen, "blob", "left_semi").select("blob", place.alias("p"))
-    skipped = written(skipped.union(known).distinct(), "skipped")
+    place = F.xxhash64(*names).alias("p")
+    chosen = rows.groupBy("blob").agg(F.min(place).alias("p"), F.count("*").alias("n"))
+    if seen is not None:
+        chosen = chosen.join(seen, "blob", "left_anti")
+    chosen = written(chosen, "chosen")
+    # what is not scanned: by blob and place, so that a blob of very many versions is many keys
+    skipped = written(rows.select("blob", place).distinct().join(chosen.select("blob", "p"), ["blob", "p"], "left_anti"), "skipped")
     small = skipped.count() * KEY_BYTES <= MOST_BROADCAST
     whole = versions.select(blob.alias("blob"), F.xxhash64(*keys).alias("p"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     todo = whole.join(F.broadcast(skipped) if small else skipped, ["blob", "p"], "left_anti")
     new = todo.select("blob", F.lit(rule_version).alias("rule_version"), scan_text(F.col("text")).alias("findings")).dropDuplicates(["blob"])
     new.write.mode("append").parquet(ledger)
-    now = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).select("blob", "findings")
-    now = written(now, "findings")
-    return rows.join(now, "blob").select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), "blob", "findings")
+    now = spark.read.schema(LEDGER).parquet(ledger).filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).dropDuplicates(["blob"])
+    now = written(now.join(rows.select("blob").distinct(), "blob", "left_semi").select("blob", "findings"), "findings")
+    found = joined_back(rows, now, written(rows.groupBy("blob").agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "hot"))
+    return found.select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), "blob", F.coalesce("findings", empty(FINDINGS)).alias("findings"))
+
+
+def joined_back(rows: DataFrame, found: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows left join found (blob, findings): by broadcast where that is small; else the rows of hot blobs (blob, n) are dealt to many keys."""
+    size = found.agg(F.coalesce(F.sum(F.size("findings") * 32 + KEY_BYTES), F.lit(0))).first()[0]
+    if size <= MOST_BROADCAST:
+        return rows.join(F.broadcast(found), "blob", "left")
+    # at most one hot blob for each HOT rows
+    parts = hot.select("blob", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    dealt = rows.join(F.broadcast(parts), "blob", "left").withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = found.join(F.broadcast(parts), "blob", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, ["blob", "part"], "left").drop("part")
 
 
 def secret_digests(docs: DataFrame, ledger: str | None = None) -> DataFrame:
@@ -91,9 +120,11 @@ def secret_digests(docs: DataFrame, ledger: str | None = None) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", ledger: str | None = None) -> DataFrame:
     """docs with each secret in its text masked; a column n_chars follows the text."""
     spark = docs.sparkSession
-    blob, found = free_name(docs, "version_blob"), free_name(docs, "version_findings")
-    keyed = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    hits = scan_versions(keyed, ledger or new_path(spark, "ledger"), (blob,), text).filter(F.size("findings") > 0)
+    blob, found, row = free_name(docs, "version_blob"), free_name(docs, "version_findings"), free_name(docs, "version_row")
+    # a version is told from its copies by its other columns; those that are equal in all of them are scanned once each
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name != text and isinstance(f.dataType, AtomicType)]
+    keyed = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).withColumn(row, F.xxhash64(*others, F.lit(0)))
+    hits = scan_versions(keyed, ledger or new_path(spark, "ledger"), (row, blob), text).filter(F.size("findings") > 0)
     hits = written(hits.select(F.col(blob), F.col("findings").alias(found)).dropDuplicates([blob]), "hits")
     small = hits.agg(F.coalesce(F.sum(F.size(found) * 32 + KEY_BYTES), F.lit(0))).first()[0] <= MOST_BROADCAST
     joined = keyed.join(F.broadcast(hits) if small else hits, blob, "left")
