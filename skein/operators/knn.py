@@ -1,13 +1,17 @@
 """Exact k nearest neighbours by squared distance, ties by the lowest ref_id. Three plans, one answer.
 
 - `brute`: one compiled expression over references and a broadcast query set, ranked by a window
-  whose group limit keeps k rows per task. The readable form, for small query sets.
+  whose group limit keeps k rows per task. The readable form, for small query sets; a larger one
+  goes to `matrix`.
 - `matrix`: the query set, in blocks of a checked size, against all references in Arrow batches; each
-  task keeps k rows per query over all its batches.
+  task keeps k rows per query over all its batches. Each block is one pass, written before the next.
 - `pruned`: first the query's own partition bounds its k-th distance, then only partitions whose box
   is not farther are searched (a box at the very distance is searched: it may hold a tie). Both
-  steps are grouped by partition and block of references; no query set is broadcast, nothing but
-  the boxes (256 rows at most).
+  steps are grouped by partition, block of references and block of queries; no query set is
+  broadcast, nothing but the boxes and counts by partition (256 rows at most).
+
+`tallies` is `pruned` for what depends on ties: not rows, but how many references stand at each of
+the distances that the k nearest have.
 
 refs: ref_id, label, vector columns (and part_key for `pruned`); queries: query_id, the same columns.
 Results: query_id, rank, ref_id, d, label.
@@ -23,13 +27,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein import schemas as S
+from skein import settings
 from skein.functions import vectors as V
 from skein.shipping import ship
 from skein.store import stored
 
-#: Query bytes sent to all tasks at once; queries in one distance matrix; references in one block.
-MOST_BROADCAST, QUERY_ROWS, BLOCK_ROWS = 32 << 20, 128, 1 << 15
+#: Query bytes sent to all tasks at once; queries in one distance matrix; references and queries in one block.
+MOST_BROADCAST, QUERY_ROWS, BLOCK_ROWS, QUERY_BLOCK = 32 << 20, 128, 1 << 15, 1 << 13
 OUT = "query_id bigint, ref_id bigint, d bigint, label int"
+TALLY = "query_id bigint, d bigint, n bigint, frauds bigint"
+_TALLY = pa.schema([("query_id", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("frauds", pa.int64())])
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("ref_id", pa.int64()), ("d", pa.int64()), ("label", pa.int32())])
 
 
@@ -41,10 +48,12 @@ def ranked(found: DataFrame, k: int, ties: bool = False) -> DataFrame:
 
 
 def brute(refs: DataFrame, queries: DataFrame, k: int = S.NEIGHBOURS, columns: list[str] = S.Q, ties: bool = False) -> DataFrame:
-    """A query set above MOST_BROADCAST is refused: use `matrix` or `pruned`."""
+    """A query set above MOST_BROADCAST goes to `matrix`, unless ties are asked for: then use `tallies`."""
     small = queries.select("query_id", *(F.col(c).alias(f"x_{c}") for c in columns))
     if small.count() * (8 + 2 * len(columns)) > MOST_BROADCAST:
-        raise ValueError("too many queries for one broadcast: use matrix() or pruned()")
+        if ties:
+            raise ValueError("too many queries for one broadcast: use tallies()")
+        return matrix(refs, queries, k, columns)
     d = V.distance([F.col(c) for c in columns], [F.col(f"x_{c}") for c in columns])
     pairs = refs.crossJoin(F.broadcast(small)).select("query_id", "ref_id", d.alias("d"), "label")
     return ranked(pairs, k, ties)
@@ -70,6 +79,18 @@ def nearest(q: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return keys & ((1 << 17) - 1), keys >> 17
 
 
+def tallied(q: np.ndarray, r: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of q, each distance that its k nearest have: place in q, distance, references at it, labels at it."""
+    k, norm, out = min(k, len(r)), (r * r).sum(1), []
+    for i in range(0, len(q), QUERY_ROWS):
+        x = q[i : i + QUERY_ROWS]
+        d = (x * x).sum(1)[:, None] - 2 * (x @ r.T) + norm
+        at, ref = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+        key, back = np.unique(np.stack([at + i, d[at, ref].astype(np.int64)]), axis=1, return_inverse=True)
+        out.append((*key, np.bincount(back.ravel(), minlength=key.shape[1]), np.bincount(back.ravel(), weights=label[ref], minlength=key.shape[1]).astype(np.int64)))
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (zip(*out, strict=True) if out else ([],) * 4))
+
+
 def _best(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray, label: np.ndarray, k: int) -> tuple:
     order = np.argsort(rid, kind="stable")
     place, d = nearest(q, r[order], k)
@@ -111,44 +132,74 @@ def matrix(refs: DataFrame, queries: DataFrame, k: int = S.NEIGHBOURS, columns:
                 yield _batch(*best)
 
         found = refs.select("ref_id", F.col("label").cast("int"), *(F.col(c).cast("int") for c in columns)).mapInArrow(search, OUT)
+        if passes > 1:  # so that the driver holds one block of queries at a time
+            found = stored(found, "pass")
         out = found if out is None else out.union(found)
     return ranked(out, k)
 
 
-def _search(refs: DataFrame, asked: DataFrame, boxes: DataFrame, k: int, columns: list[str]) -> DataFrame:
-    """asked: query_id, part_key, columns. The k nearest of each query in each block of the asked partitions."""
+def _search(refs: DataFrame, asked: DataFrame, boxes: DataFrame, k: int, columns: list[str], tally: bool = False) -> DataFrame:
+    """asked: query_id, part_key, columns. The k nearest of each query in each block of the asked partitions, or their tallies."""
     ship(refs.sparkSession)
+    # both sides are cut: a frequent partition is blocks of references times blocks of queries
     blocks = boxes.select("part_key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    left = refs.join(F.broadcast(blocks), "part_key").withColumn("block", F.pmod(F.xxhash64("ref_id"), F.col("blocks")).cast("int"))
-    right = asked.join(F.broadcast(blocks), "part_key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    queries = asked.groupBy("part_key").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qblocks"))
+    cut = stored(blocks.join(queries, "part_key"), "blocks")
+    left = refs.join(F.broadcast(cut), "part_key").withColumn("block", F.pmod(F.xxhash64("ref_id"), F.col("blocks")).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)))
+    right = asked.join(F.broadcast(cut), "part_key").withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.col("qblocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     width = range(len(columns))
 
     def search(r: pa.Table, q: pa.Table) -> pa.Table:
         if not r.num_rows or not q.num_rows:
-            return _SCHEMA.empty_table()
+            return (_TALLY if tally else _SCHEMA).empty_table()
+        qid, label = q["query_id"].to_numpy(), r["label"].to_numpy()
         a, b = _stack([q[f"c{i}"].to_numpy() for i in width]), _stack([r[f"c{i}"].to_numpy() for i in width])
-        return pa.Table.from_batches([_batch(*_best(q["query_id"].to_numpy(), a, r["ref_id"].to_numpy(), b, r["label"].to_numpy(), k))])
+        if tally:
+            at, *rest = tallied(a, b, label, k)
+            return pa.Table.from_arrays([pa.array(qid[at]), *(pa.array(x, pa.int64()) for x in rest)], schema=_TALLY)
+        return pa.Table.from_batches([_batch(*_best(qid, a, r["ref_id"].to_numpy(), b, label, k))])
 
     # both sides may come from one table: new names on each keep the grouping keys apart
     def side(df: DataFrame, mark: str, *keys):
-        return df.select(F.col("part_key").alias(f"{mark}_key"), F.col("block").alias(f"{mark}_block"), *keys, *(F.col(c).cast("int").alias(f"c{i}") for i, c in enumerate(columns))).groupBy(f"{mark}_key", f"{mark}_block")
+        return df.select(F.col("part_key").alias(f"{mark}_key"), F.col("block").alias(f"{mark}_block"), F.col("qblock").alias(f"{mark}_qblock"), *keys, *(F.col(c).cast("int").alias(f"c{i}") for i, c in enumerate(columns))).groupBy(f"{mark}_key", f"{mark}_block", f"{mark}_qblock")
 
     found = side(left, "r", "ref_id", F.col("label").cast("int").alias("label"))
-    return found.cogroup(side(right, "q", "query_id")).applyInArrow(lambda x, y: search(x, y), OUT)
+    return found.cogroup(side(right, "q", "query_id")).applyInArrow(lambda x, y: search(x, y), TALLY if tally else OUT)
 
 
-def pruned(refs: DataFrame, queries: DataFrame, boxes: DataFrame, k: int = S.NEIGHBOURS, columns: list[str] = S.Q) -> DataFrame:
-    """boxes: what `index.bounds` gives for refs."""
-    asked = queries.select("query_id", "part_key", *columns)
-    boxes = refs.sparkSession.createDataFrame(boxes.toArrow())  # 256 rows at most, read five times below
-    own = stored(_search(refs, asked, boxes, k, columns), "own")
-    limit = own.groupBy("query_id").agg(F.count("*").alias("found"), F.array_sort(F.collect_list("d")).alias("ds"))
-    limit = limit.filter(F.col("found") >= k).select("query_id", F.col("ds")[k - 1].alias("worst"))
+def _probes(asked: DataFrame, limit: DataFrame, boxes: DataFrame, columns: list[str]) -> DataFrame:
+    """The other partitions that each query has to be held against. limit: query_id, worst; queries without one search all."""
     bound = V.box_bound([F.col(c) for c in columns], [F.col(f"lo{i}") for i in range(len(columns))], [F.col(f"hi{i}") for i in range(len(columns))])
     near = asked.withColumnRenamed("part_key", "own_key").join(limit, "query_id", "left").crossJoin(F.broadcast(boxes.drop("n", "frauds")))
     probes = near.filter((F.col("part_key") != F.col("own_key")) & (F.col("worst").isNull() | (bound <= F.col("worst"))))
-    other = _search(refs, probes.select("query_id", "part_key", *columns), boxes, k, columns)
-    return ranked(own.union(other), k)
+    return stored(probes.select("query_id", "part_key", *columns), "probes")
+
+
+def _local(boxes: DataFrame) -> DataFrame:
+    return boxes.sparkSession.createDataFrame(boxes.toArrow())  # 256 rows at most, read several times
+
+
+def pruned(refs: DataFrame, queries: DataFrame, boxes: DataFrame, k: int = S.NEIGHBOURS, columns: list[str] = S.Q) -> DataFrame:
+    """boxes: what `index.bounds` gives for refs."""
+    asked, boxes = queries.select("query_id", "part_key", *columns), _local(boxes)
+    own = stored(_search(refs, asked, boxes, k, columns), "own")
+    limit = ranked(own, k).filter(F.col("rank") == k).select("query_id", F.col("d").alias("worst"))
+    return ranked(own.union(_search(refs, _probes(asked, limit, boxes, columns), boxes, k, columns)), k)
+
+
+def _nearest_tallies(found: DataFrame, k: int) -> DataFrame:
+    """Sums by distance, up to the distance of the k-th."""
+    sums = found.groupBy("query_id", "d").agg(F.sum("n").alias("n"), F.sum("frauds").alias("frauds"))
+    upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("d"))
+    return sums.withColumn("upto", upto).filter(F.col("upto") - F.col("n") < k)
+
+
+def tallies(refs: DataFrame, queries: DataFrame, boxes: DataFrame, k: int = S.NEIGHBOURS, columns: list[str] = S.Q) -> DataFrame:
+    """query_id, d, n, frauds, upto: for each distance of the k nearest, how many references stand at it, of these frauds, and n up to it. At most k rows per query, however many references tie."""
+    asked, boxes = queries.select("query_id", "part_key", *columns), _local(boxes)
+    own = stored(_search(refs, asked, boxes, k, columns, tally=True), "own")
+    limit = _nearest_tallies(own, k).filter(F.col("upto") >= k).select("query_id", F.col("d").alias("worst"))
+    return _nearest_tallies(own.union(_search(refs, _probes(asked, limit, boxes, columns), boxes, k, columns, tally=True)), k)
 
 
 def frauds(queries: DataFrame, found: DataFrame) -> DataFrame:
@@ -163,10 +214,14 @@ def none(queries: DataFrame) -> DataFrame:
     return empty.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("ref_id"), F.lit(0).cast("bigint").alias("d"), F.lit(0).alias("label"))
 
 
-def search(refs: DataFrame, queries: DataFrame, boxes: DataFrame | None = None, mode: str = "exact", k: int = S.NEIGHBOURS) -> DataFrame:
-    """By mode: exact, fast and probe are one exact search (with boxes the pruned plan, else matrices); null finds nothing."""
+MODES = ("exact", "fast", "probe", "null")
+
+
+def search(refs: DataFrame, queries: DataFrame, boxes: DataFrame | None = None, mode: str | None = None, k: int = S.NEIGHBOURS) -> DataFrame:
+    """By mode: exact, fast and probe are one exact search (with boxes the pruned plan, else matrices); null finds nothing. Without one, the session's."""
+    mode = mode or settings.search_mode(refs.sparkSession)
     if mode == "null":
         return none(queries)
-    if mode not in ("exact", "fast", "probe"):
+    if mode not in MODES:
         raise ValueError(f"no search mode {mode}")
     return matrix(refs, queries, k) if boxes is None else pruned(refs, queries, boxes, k)

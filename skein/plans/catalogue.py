@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schemas as S
+from skein import settings
 from skein.functions import features as C
 from skein.functions import scoring
 from skein.functions import vectors as V
@@ -166,17 +167,17 @@ def knn_pruned(spark: SparkSession, d: str) -> DataFrame:
 
 def knn_radius_flag(spark: SparkSession, d: str) -> DataFrame:
     f = found(spark, d)[1]
-    return f.groupBy("query_id").agg(F.max(F.when(F.col("rank") == S.NEIGHBOURS, F.col("d"))).alias("d5")).select("query_id", F.coalesce(F.col("d5") <= V.radius_limit(), F.lit(False)).alias("within"))
+    return f.groupBy("query_id").agg(F.max(F.when(F.col("rank") == S.NEIGHBOURS, F.col("d"))).alias("d5")).select("query_id", F.coalesce(F.col("d5") <= V.radius_limit(settings.early_radius(spark)), F.lit(False)).alias("within"))
 
 
 def knn_tie_interval(spark: SparkSession, d: str) -> DataFrame:
     """The least and most frauds that any order of equally distant references could give."""
-    f = knn.brute(*sides(spark, d), ties=True)
-    last = f.join(f.groupBy("query_id").agg(F.max("d").alias("worst")), "query_id")
-    tied = F.col("d") == F.col("worst")
-    a = last.groupBy("query_id").agg(F.count_if(~tied).alias("near"), F.sum(F.when(~tied, F.col("label")).otherwise(0)).alias("sure"), F.count_if(tied).alias("ties"), F.sum(F.when(tied, F.col("label")).otherwise(0)).alias("tied"))
+    refs, queries = sides(spark, d)
+    f = knn.tallies(refs, queries, index.bounds(refs))
+    tied = F.col("upto") >= S.NEIGHBOURS  # at the last distance; a set of fewer references has none
+    a = f.groupBy("query_id").agg(*(F.coalesce(F.sum(F.when(w, F.col(c))), F.lit(0)).alias(x) for x, w, c in (("near", ~tied, "n"), ("sure", ~tied, "frauds"), ("ties", tied, "n"), ("tied", tied, "frauds"))))
     room = F.lit(S.NEIGHBOURS) - F.col("near")
-    least = F.col("sure") + F.greatest(F.lit(0), room - (F.col("ties") - F.col("tied")))
+    least = F.col("sure") + F.greatest(F.lit(0), room - (F.col("ties") - F.col("tied"))) * (F.col("ties") > 0).cast("int")
     return a.select("query_id", least.cast("bigint").alias("least"), (F.col("sure") + F.least(room, F.col("tied"))).cast("bigint").alias("most"))
 
 
@@ -189,6 +190,35 @@ def fraud_decision_json(spark: SparkSession, d: str) -> DataFrame:
     return knn.frauds(*found(spark, d)).select("query_id", scoring.decision_json(F.col("fraud_count")).alias("body"))
 
 
+def search_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Each search mode by its name: what it counts for each query."""
+    refs, queries = sides(spark, d)
+    boxes = stored(index.bounds(refs), "boxes")
+    out = None
+    for mode in knn.MODES:
+        counts = knn.frauds(queries, knn.search(refs, queries, boxes, mode)).select(F.lit(mode).alias("mode"), "query_id", "fraud_count")
+        out = counts if out is None else out.union(counts)
+    return out
+
+
+def index_report(spark: SparkSession, d: str) -> DataFrame:
+    """What the loaded index reports, in one line."""
+    path = shared(spark, "index")
+    index.write_index(as_references(quantized(spark, d)), path)
+    return index.report_line(index.stats(index.read_index(spark, path)[1]))
+
+
+def references_from_json(spark: SparkSession, d: str) -> DataFrame:
+    """Reference files written as JSON arrays, then loaded as those are: how many, how many frauds, and sums of quantized features by partition."""
+    path = shared(spark, "references")
+    v = transactions(spark, d).select("id", F.when(F.col("label") == 1, S.FRAUD).otherwise("legit").alias("label"), F.array(*C.features()).alias("vector"))
+    # arrays of ENTRIES at most: one file each
+    files = v.groupBy(F.floor(F.col("id") / ENTRIES).alias("file")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "vector", "label")))).alias("value"))
+    files.write.partitionBy("file").option("compression", "gzip").text(path)
+    refs = index.quantized(ingest.read_references(spark, path))
+    return refs.groupBy(F.col("part_key").cast("bigint").alias("part_key")).agg(F.count_distinct("ref_id").alias("n"), F.sum("label").cast("bigint").alias("frauds"), *(F.sum(c).cast("bigint").alias(c) for c in S.Q))
+
+
 def null_search(spark: SparkSession, d: str) -> DataFrame:
     """The search mode that finds nothing: all are approved."""
     queries = as_queries(transactions(spark, d).select("id"))
@@ -233,6 +263,11 @@ def detection_score(spark: SparkSession, d: str) -> DataFrame:
     return _confusion(spark, d).select(F.round(scoring.detection_score(*(F.col(x) for x in _COUNTS)), 6).alias("detection_score"))
 
 
+#: Entries of one reference file.
+ENTRIES = 50_000
+#: The phases of a load report, and what is told of each.
+PHASES = ("view", "click", "purchase", "signup", "error")
+PHASE_PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
 
 
@@ -254,6 +289,18 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _latency(spark, d).crossJoin(F.broadcast(whole))  # one row each
 
 
+def load_report(spark: SparkSession, d: str) -> DataFrame:
+    """For each phase: requests, least, mean, most, and the values at exact ranks."""
+    e = read(spark, d, "events")
+    out = None
+    for phase in PHASES:  # a fixed list
+        mine = e.filter(F.col("event_type") == phase)
+        whole = mine.agg(F.lit(phase).alias("phase"), F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+        one = whole.crossJoin(F.broadcast(ranks.at_shares(mine, "value", PHASE_PERCENTILES)))  # one row each
+        out = one if out is None else out.union(one)
+    return out
+
+
 def precision_diff_counts(spark: SparkSession, d: str) -> DataFrame:
     tx = transactions(spark, d)
     q = {k: [V.quantize(F.col(f"{k}{i}"), k).cast("int") for i in range(S.DIM)] for k in ("float", "double")}
@@ -295,7 +342,7 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
 ALL: tuple[Query, ...] = (
     payload_parse, payload_status, http_route, json_prop_int, known_merchant, last_tx_minutes_abs, last_tx_minutes_signed, calendar_features, mcc_risk_lookup,
     amount_features, feature_vector_f32, feature_vector_f64, quantize_embeddings, partition_key_counts, partition_bounds, widest_dim, box_lower_bound,
-    knn_brute, knn_matrix, knn_pruned, knn_radius_flag, knn_tie_interval, fraud_score, fraud_decision_json, null_search, confusion_counts, edge_counts,
+    knn_brute, knn_matrix, knn_pruned, knn_radius_flag, knn_tie_interval, fraud_score, fraud_decision_json, null_search, search_modes, index_report, references_from_json, load_report, confusion_counts, edge_counts,
     weighted_error, detection_score, p99_score, final_score, latency_percentiles, precision_diff_counts, dataset_stats, embedding_knn_vote, stream_score,
 )
 

@@ -96,6 +96,12 @@ SQL: dict[str, str] = {
     "fraud_score": f"{_SCORE} SELECT query_id, n AS fraud_count, CAST(n AS DOUBLE) / 5 AS fraud_score, n < 3 AS approved FROM zc",
     "fraud_decision_json": f"{_SCORE} SELECT query_id, CASE n WHEN 0 THEN '{{\"approved\":true,\"fraud_score\":0.0}}' WHEN 1 THEN '{{\"approved\":true,\"fraud_score\":0.2}}' WHEN 2 THEN '{{\"approved\":true,\"fraud_score\":0.4}}' WHEN 3 THEN '{{\"approved\":false,\"fraud_score\":0.6}}' WHEN 4 THEN '{{\"approved\":false,\"fraud_score\":0.8}}' ELSE '{{\"approved\":false,\"fraud_score\":1.0}}' END AS body FROM zc",
     "null_search": "SELECT event_id AS query_id, CAST(0 AS DOUBLE) AS fraud_score, TRUE AS approved FROM events WHERE event_id % 50 = 0",
+    "search_modes": f"{_SCORE} SELECT mode, query_id, CASE WHEN mode = 'null' THEN 0 ELSE n END AS fraud_count FROM zc, (SELECT unnest(['exact', 'fast', 'probe', 'null']) AS mode) m",
+    "index_report": f"{_F32} SELECT 'n=' || count(*) || ' partitions=' || count(DISTINCT part_key) || ' frauds=' || CAST(sum(label) AS BIGINT) AS line FROM z",
+    "references_from_json": f"{_F32} SELECT part_key, count(*) AS n, CAST(sum(label) AS BIGINT) AS frauds, {', '.join(f'CAST(sum(q{i}) AS BIGINT) AS q{i}' for i in range(DIM))} FROM z GROUP BY part_key",
+    "load_report": "WITH s AS (SELECT event_type AS phase, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT phase, max(n) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, "
+    + ", ".join(f"{_AT(p)} AS {n}" for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999)))
+    + " FROM s GROUP BY phase",
     "confusion_counts": f"{_CONF} SELECT tp, tn, fp, fn, errors FROM c",
     "edge_counts": f"{_BOTH} SELECT count(*) FILTER (WHERE expected = 3) AS edge_total, count(*) FILTER (WHERE expected = 3 AND NOT ({_D})) AS edge_wrong, CAST(count(*) FILTER (WHERE {_D} AND NOT ({_E})) + 3 * count(*) FILTER (WHERE NOT ({_D}) AND {_E}) AS BIGINT) AS tally_errors FROM o",
     "weighted_error": f"{_CONF} SELECT CAST(n AS BIGINT) AS n, CAST(e AS BIGINT) AS weighted_errors, CAST(fp + fn + errors AS BIGINT) AS failures, round(CAST(e AS DOUBLE) / n, 6) AS epsilon, round(CAST(fp + fn + errors AS DOUBLE) / n, 6) AS failure_rate FROM w",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein import schemas as S
 from skein.functions import features as C
 from skein.functions import vectors as V
+from skein.plans.windows import running_mean
 
 #: Merchant categories by merchant number modulo 11; the last is in no dictionary.
 CATEGORIES = [*S.MCC_RISK, "unknown"]
@@ -23,7 +24,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per event, with the history its payload would carry.
 
     All histories are running windows: nothing is gathered per user, and a merchant is known if the
-    user's row for it isn't the first.
+    user's row for it isn't the first. Merchants are few, so their windows go by hour.
     """
     e = read(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
@@ -37,7 +38,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = Window.partitionBy("user_id").orderBy("ts", "id")
     day = Window.partitionBy("user_id").orderBy("epoch_us").rangeBetween(-86_400_000_000, 0)
     at_merchant = Window.partitionBy("user_id", "k").orderBy("ts", "id")
-    all_at_merchant = Window.partitionBy("k").orderBy("ts", "id")
+    e = running_mean(e, "k", F.date_trunc("hour", "ts"), ["ts", "id"], F.col("amount").cast("double"), "merchant_mean")
     mcc = F.element_at(F.array(*(F.lit(x) for x in CATEGORIES)), (F.col("k") % len(CATEGORIES) + 1).cast("int"))
     return e.withColumn("epoch_us", F.unix_micros("ts") if str(e.schema["ts"].dataType) == "TimestampType()" else F.unix_micros(F.col("ts").cast("timestamp"))).select(
         "id",
@@ -50,7 +51,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg(F.col("amount").cast("double")).over(own).cast("float").alias("customer_avg"),
         F.count("*").over(day).alias("tx_count_24h"),
         (F.row_number().over(at_merchant) > 1).alias("merchant_known"),
-        F.avg(F.col("amount").cast("double")).over(all_at_merchant).cast("float").alias("merchant_avg"),
+        F.col("merchant_mean").cast("float").alias("merchant_avg"),
         mcc.alias("mcc"),
         F.col("event_type").isin("click", "view").alias("is_online"),
         (F.col("event_type") == "purchase").alias("card_present"),

@@ -58,14 +58,15 @@ def route(raw: Column) -> Column:
 
 
 def content_length(raw: Column) -> Column:
-    """Digits of the Content-Length line of the header, in any case; null if there is none."""
-    return F.try_to_number(F.nullif(F.regexp_extract(F.substring_index(raw, "\r\n\r\n", 1), r"(?i)\r\ncontent-length:[ \t]*([0-9]{1,9})", 1), F.lit("")), F.lit("999999999")).cast("bigint")
+    """Digits of the Content-Length line of the header, in any case; null if there is none. More than 18 digits are the largest number."""
+    digits = F.regexp_replace(F.regexp_extract(F.substring_index(raw, "\r\n\r\n", 1), r"(?i)\r\ncontent-length:[ \t]*([0-9]+)", 1), "^0+(?=[0-9])", "")
+    return F.when(digits == "", None).when(F.length(digits) > 18, F.lit((1 << 63) - 1)).otherwise(F.nullif(F.substring(digits, 1, 18), F.lit("")).cast("bigint"))
 
 
 def body(raw: Column) -> Column:
     """What follows the header, as long as Content-Length says."""
     at = F.instr(raw, "\r\n\r\n")
-    return F.substring(raw, at + 4, F.coalesce(content_length(raw), F.lit(0)).cast("int"))
+    return F.substring(raw, at + 4, F.least(F.coalesce(content_length(raw), F.lit(0)), F.lit((1 << 31) - 1)).cast("int"))
 
 
 def statuses(rows: DataFrame, raw: str = "raw") -> DataFrame:
@@ -86,14 +87,14 @@ def statuses(rows: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """References from (gzipped) JSON arrays: ref_id (place in the file), vector, label 0/1. Any bad entry fails the load.
+    """References from files of one (gzipped) JSON array each: ref_id, vector, label 0/1. Any bad entry fails the load.
 
-    One gzipped array can't be split, so it is read once, by one task, and written as an index.
+    Arrays are read entry by entry; an array can't be split, so a file is one task. ref_id is the place
+    in the file if there is one file; over several, ids ascend in each file and no two are equal.
     """
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.from_json("value", f"array<struct<{S.REFERENCE.replace(' array', ':array').replace(' string', ':string')}>>", {"mode": "FAILFAST"})).alias("ref_id", "r"))
-    checked = F.when(F.size("r.vector") == S.DIM, F.col("r.vector")).otherwise(F.raise_error(F.lit(f"a reference needs {S.DIM} numbers")))
-    return rows.select(F.col("ref_id").cast("bigint").alias("ref_id"), checked.alias("vector"), F.when(F.col("r.label") == S.FRAUD, 1).otherwise(0).alias("label"))
+    rows = spark.read.schema(S.REFERENCE).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("ref_id", F.monotonically_increasing_id())
+    checked = F.when(F.size("vector") == S.DIM, F.col("vector")).otherwise(F.raise_error(F.lit(f"a reference needs {S.DIM} numbers")))
+    return rows.select("ref_id", checked.alias("vector"), F.when(F.col("label") == S.FRAUD, 1).otherwise(0).alias("label"))
 
 
 def read_test_data(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein import schemas as S
+from skein import settings as options
 from skein.functions import features as C
 from skein.functions import scoring
 from skein.functions import vectors as V
@@ -106,6 +107,7 @@ def test_http(spark):
         (request("POST /fraud-score HTTP/1.1", f"Content-Length: {len(b)}", b), 200), (request("POST /fraud-score?x HTTP/1.1", f"CONTENT-length:\t{len(b)}", b), 200), (request("POST /fraud-scorex HTTP/1.1", f"Content-Length: {len(b)}", b), 404),
         (request("GET /ready HTTP/1.1", "A: b", ""), 200), (request("GET /fraud-score HTTP/1.1", "A: b", ""), 404), (request("BREW /ready HTTP/1.1", "A: b", ""), 400), (request("POST /fraud-score HTTP/1.1", "A: b", b), 400),
         (request("POST /fraud-score HTTP/1.1", "Content-Length: 2", "{}"), 400), (request("POST /fraud-score HTTP/1.1", f"Content-Length: {len(b) + 5}", b), None), ("POST /fr", None), (request("POST /fraud-score HTTP/1.1", "Content-Length: 5000", "x" * 5000), 413),
+        (request("POST /fraud-score HTTP/1.1", f"Content-Length: {len(b):025d}", b), 200), (request("POST /fraud-score HTTP/1.1", f"Content-Length: 1{len(b):09d}", b), None), (request("POST /fraud-score HTTP/1.1", "Content-Length: " + "9" * 30, b), None),
     ]
     rows = ingest.statuses(spark.createDataFrame([(i, r) for i, (r, _) in enumerate(raws)], "id int, raw string")).orderBy("id").collect()
     assert [r["status"] for r in rows] == [s for _, s in raws]
@@ -163,8 +165,29 @@ def test_blocks_of_queries_and_references(spark, monkeypatch):
     monkeypatch.setattr(knn, "MOST_BROADCAST", 8 * 15 * 7)
     assert sorted(tuple(x) for x in knn.matrix(refs, queries).collect()) == want
     assert sorted(tuple(x) for x in knn.pruned(refs, queries, index.bounds(refs)).collect()) == want
-    with pytest.raises(ValueError):
-        knn.brute(refs, queries)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 4)
+    assert sorted(tuple(x) for x in knn.pruned(refs, queries, index.bounds(refs)).collect()) == want
+    # a query set beyond one broadcast goes to matrix()
+    assert sorted(tuple(x) for x in knn.brute(refs, queries).collect()) == want
+
+
+def test_tallies_count_all_ties(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 5)
+    for seed in range(2):
+        r = random.Random(seed)
+        row = lambda: vec(*(r.choice((0, 3000)) for _ in range(9)), r.choice((0, 1)))
+        refs = as_table(spark, [(i, r.randrange(2), row()) for i in range(120)], "ref_id")
+        queries = as_table(spark, [(i, 0, row()) for i in range(12)], "query_id")
+        rows = knn.brute(refs, queries, ties=True).collect()
+        n, frauds = Counter((x["query_id"], x["d"]) for x in rows), Counter()
+        for x in rows:
+            frauds[x["query_id"], x["d"]] += x["label"]
+        got = knn.tallies(refs, queries, index.bounds(refs)).collect()
+        assert {(x["query_id"], x["d"]): (x["n"], x["frauds"]) for x in got} == {k: (v, frauds[k]) for k, v in n.items()} and max(n.values()) > 5
 
 
 def test_search_modes(spark):
@@ -174,6 +197,15 @@ def test_search_modes(spark):
     assert knn.search(refs, one, mode="null").count() == 0
     with pytest.raises(ValueError):
         knn.search(refs, one, mode="other")
+    spark.conf.set(options.MODE, "null")
+    spark.conf.set(options.RADIUS, "250")
+    try:
+        assert knn.search(refs, one).count() == 0 and options.early_radius(spark) == 0.25
+        spark.conf.set(options.RADIUS, "much")
+        assert options.early_radius(spark) == S.EARLY_RADIUS
+    finally:
+        spark.conf.unset(options.MODE)
+        spark.conf.unset(options.RADIUS)
 
 
 def test_index_round_trip_and_checks(spark, tmp_path):
@@ -194,6 +226,10 @@ def test_reference_and_test_files(spark, tmp_path):
         json.dump([{"vector": [0.1] * 14, "label": "fraud"}, {"vector": [0] * 13 + [1], "label": "legit"}], f)
     rows = index.quantized(ingest.read_references(spark, f"{tmp_path}/r.json.gz")).orderBy("ref_id").collect()
     assert [(r["ref_id"], r["label"], r["q0"], r["q13"]) for r in rows] == [(0, 1, 1000, 1000), (1, 0, 0, 10000)]
+    (tmp_path / "many").mkdir()
+    for k in range(3):
+        (tmp_path / "many" / f"{k}.json").write_text(json.dumps([{"vector": [0.1 * k] * 14, "label": "fraud"}] * (k + 2), indent=1))
+    assert ingest.read_references(spark, f"{tmp_path}/many").select("ref_id").distinct().count() == 9
     (tmp_path / "bad.json").write_text(json.dumps([{"vector": [1.0], "label": "x"}]))
     with pytest.raises(Exception):
         ingest.read_references(spark, f"{tmp_path}/bad.json").collect()
