@@ -6,7 +6,9 @@ are looked up anew, until no adjacent parts merge. The vocabulary file gives the
 normalisation (composed form, white space to one space, lower case), the split pattern and the
 special strings; this module carries them out itself, without the tokenizers library.
 
-A null text is empty: it has no ids and decodes to an empty string.
+A null or empty text has no ids and decodes to an empty string. Very long texts are read whole, in
+time that grows with their length. Of equal ranks the leftmost merges first. Repeated rows have equal
+results. Empty table: no rows. Extra columns stay; the result's column is named by the caller.
 """
 
 from __future__ import annotations

@@ -3,11 +3,15 @@
 A word in angle marks gives its whole form and its character n-grams; each is hashed to a row of an
 embedding table. A text is the average of its subwords' rows, a linear softmax on it gives the
 languages. Both are trained by stochastic gradient descent in numpy, on a bounded sample of whole
-labelled texts (about `sample` rows by a hash, the bound is a parameter). A temperature
-and a rejection threshold are set on a part of the sample that training did not see.
+labelled texts: by a hash, about `sample` rows and `sample_bytes` bytes, whichever is less, of texts
+of `MOST_TEXT` bytes at most. A temperature and a rejection threshold are set on a part of the sample
+that training did not see. What is predicted is read whole, however long.
 
 As the model is linear, a word's share of the logits is a fixed vector: workers keep it by word.
-Null text or a text without a letter: `und`, score 0, rejected. No labelled rows: all `und`.
+Null, empty text or a text without a letter: `und`, score 0, rejected. No labelled rows: all `und`.
+Empty table: no rows. Repeated rows (in id, text and language) are learned from once and predicted
+alike. Of equally likely languages the first by name. Extra columns stay; the name of the filter's own
+column is chosen so that it does not clash.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import claim, free_name, raw, ship
 
+#: Bytes that reach the driver to learn from, about, and of one text.
+SAMPLE_BYTES, MOST_TEXT = 32 << 20, 2 << 20
 SAMPLE, BUCKETS, DIM, LENGTHS, EPOCHS = 3000, 1 << 15, 16, (1, 2, 3, 4), 4
 #: Texts are learned in stretches of so many words, so that short texts are known as well as long ones.
 STRETCH = 24
@@ -199,16 +205,18 @@ def train(texts: list[str], langs: list[str], seed: int = 7, buckets: int = BUCK
     return model
 
 
-def fit_language_model(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample: int = SAMPLE, **options) -> Model:
-    """Train on the labelled rows whose hash of `order`, text and language lies in the share of all hashes that holds `sample` of them.
+def fit_language_model(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, **options) -> Model:
+    """Train on the labelled rows whose hash of `order`, text and language lies in the share of all hashes that holds `sample` rows and `sample_bytes` bytes of them.
 
-    About that many rows reach the driver, twice as many at most; equal rows count once. Tasks
-    filter by themselves, so nothing else is sent, however many tasks there are.
+    About that many rows and bytes reach the driver, twice as many rows at most; equal rows count once.
+    Tasks filter by themselves, so nothing else is sent, however many tasks there are.
     """
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("_t"), F.col(lang).alias("_l"), F.pmod(F.xxhash64(order, text, lang), F.lit(1 << 40)).alias("_h"))
-    n = rows.count()
-    if n > sample:
-        rows = rows.filter(F.col("_h") < int((1 << 40) * sample / n))
+    known = F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= MOST_TEXT)
+    rows = labelled.filter(known).select(F.col(text).alias("_t"), F.col(lang).alias("_l"), F.pmod(F.xxhash64(order, text, lang), F.lit(1 << 40)).alias("_h"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()
+    share = min(sample / max(n, 1), sample_bytes / max(size, 1))
+    if share < 1:
+        rows = rows.filter(F.col("_h") < int((1 << 40) * share))
     found = sorted(rows.dropDuplicates(["_h"]).limit(2 * sample).collect(), key=lambda r: (r["_h"], r["_t"]))
     return train([r["_t"] for r in found], [r["_l"] for r in found], **options)
 

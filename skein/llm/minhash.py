@@ -16,7 +16,9 @@
 6. Components of the confirmed links are the answer.
 
 Null text or no words: empty set, linked with nothing. Null id: a row of its own. Rows with the same
-id are one node. Ties go to the least id.
+id are one node. Ties go to the least id. Very long texts are read whole; a block holds `BLOCK_BYTES`
+of them. Empty table: no rows. Only the id and text columns are read, so no others can clash; a
+filtered table keeps all its columns.
 """
 
 from __future__ import annotations

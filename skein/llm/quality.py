@@ -3,7 +3,9 @@
 Words are runs of other than ASCII white space. For each n in `ngrams`, a window of n words that
 occurs twice or more in its text marks its words; the share of the words' characters that are
 marked is the coverage for n. Duplicated lines are measured likewise.
-A null text has no words: it fails. An empty text fails. Rows with the same id are judged one by one.
+A null text has no words: it fails. An empty text fails. Very long texts are read whole. A share equal
+to its limit passes. Repeated rows and rows with the same id are judged one by one. Empty table: no
+rows. Extra columns stay; the filter's own column has a name that does not clash.
 """
 
 from __future__ import annotations

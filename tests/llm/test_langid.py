@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+
 from skein.llm import langid, queries
 
 SF = "/root/testdata/sf0.01"
@@ -35,6 +37,38 @@ def test_odd_rows(odd_docs, no_docs):
     assert langid.language_filter(odd_docs).columns == odd_docs.columns
 
 
+def test_prediction_equals_a_plain_forward_pass():
+    """Without folding and without a memory of words: the mean of all subwords' rows, the softmax, the temperature."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(rng.choice(list(letters), rng.integers(1, 9))) for _ in range(40)) for letters in ("abcde", "defgh", "ghijk") for _ in range(40)]
+    model = langid.train(texts, [x for x in ("a", "b", "c") for _ in range(40)])
+    for text in [*texts[::13], "Abc, DEF! 12", "x" * 300 + " abc", "é漢字 cab", ".", "a" * 64]:
+        rows = langid.Grams(len(model.table))
+        ids = [i for w in langid.normal(text.encode()) for i in langid.subwords(w, rows).tolist()]
+        want = model.predict(text.encode())
+        if not any(c.isalpha() for c in text):
+            assert want == ("und", 0.0, False)
+            continue
+        z = (model.table[ids].mean(0) @ model.out + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert want[0] == model.labels[p.argmax()] and abs(want[1] - p.max()) < 1e-4 and want[2] == (want[1] >= model.threshold)
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_TEXT", 4000)
+    sent = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs, **options: sent.append(texts))
+    docs = spark.range(2000).selectExpr("id AS doc_id", "repeat('ab ', 300 + CAST(id AS INT)) AS text", "'en' AS lang")
+    langid.fit_language_model(docs, sample_bytes=100_000)
+    assert 20_000 < sum(map(len, sent[0])) < 300_000 and max(map(len, sent[0])) <= 4000
+
+
+def test_very_long_text(spark):
+    model = langid.train(["abba cab baca bacca " * 30, "xyzzy zyx yxxz zyzy " * 30] * 20, ["one", "two"] * 20)
+    docs = spark.createDataFrame([(1, "abba cab " * 20_000 + "zyzy xyzzy " * 100_000)], "doc_id long, text string")
+    assert langid.identify(docs, model).first()["language"]["lang_pred"] == "two"
+
+
 def test_whole_of_a_long_word_is_read():
     rows = langid.Grams(1 << 40)
     word = "".join(chr(97 + i * i % 26) for i in range(200)) + "ßzq"
