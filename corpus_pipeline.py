@@ -10,6 +10,11 @@ return the columns of `documents`.
 - minhash_near_dedup keeps the least id of each group at five words and a similarity of 0.8.
 - secret_scan masks the secrets found; no document goes.
 - best_fit_packing packs what is left into sequences of at most 4096 ids.
+
+Null and empty texts are rejected by the first stage; null ids and repeated rows pass on, each row by
+itself, but near-dedup drops rows whose id goes. Very long texts are read whole in each stage. An
+empty table gives an empty table of the same columns. Other columns stay as they are (n_chars follows
+a masked text), and names that stages need do not clash with them.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import langid, minhash, packing, quality, secrets
-from skein.llm.common import written
+from skein.llm.common import scratch, written
 
 #: The stages' rows depend on a trained model and a tokenizer, which SQL can't express.
 ORACLE_SQL = None
@@ -55,5 +60,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:  # a stage's own tables go when its rows are written
+            docs = keep(written(stage(spark, docs, sf_dir), name))
     return docs
