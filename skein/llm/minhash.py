@@ -34,8 +34,8 @@ from skein.llm.graph import components
 
 #: Bits of an Odd sketch; how far below the limit its estimate may lie; classes in a block; classes all blocks of a family see.
 SKETCH_BITS, SLACK, BLOCK, PIVOTS = 512, 0.12, 384, 48
-#: Text bytes that a block holds at most, so that a block of very long texts stays small.
-BLOCK_BYTES = 8 << 20
+#: Text bytes that a block holds, and that its pivots have together, about, so that a block of very long texts stays small.
+BLOCK_BYTES, PIVOT_BYTES = 8 << 20, 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _hashes = WordHash()
 
@@ -208,14 +208,15 @@ def _family_links(docs: DataFrame, doc_id: str, text: str, families: DataFrame,
     of = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
     sizes = of.join(reps.select("rep", "size"), "rep").groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    sizes = sizes.select("family", blocks.alias("blocks"), "n")
+    every = F.greatest(F.lit(1), (F.col("n") / PIVOTS).cast("int"), F.ceil(F.col("bytes") / PIVOT_BYTES).cast("int"))
+    sizes = written(sizes.select("family", blocks.alias("blocks"), every.alias("every")), "sizes")
     # only the texts of representatives with a family move
     whole = docs.select(F.col(doc_id).cast("long").alias("rep"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     placed = whole.join(of.join(sizes, "family").join(reps.select("rep", "text_key", "sketch"), "rep"), ["rep", "text_key"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = written(placed.select("family", "blocks", "n", "block", "rep", "text", "sketch"), "placed")
+    placed = written(placed.select("family", "blocks", "every", "block", "rep", "text", "sketch"), "placed")
     # first: within blocks, and with the pivots that all blocks of the family see
-    pivot = F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest(F.lit(1), (F.col("n") / PIVOTS).cast("int"))) == 0
+    pivot = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("every")) == 0
     mine = placed.select(F.struct("family", "block", F.lit(-1).alias("other")).alias("task"), F.lit(0).alias("side"), "rep", F.col("rep").alias("label"), "text", "sketch")
     shown = placed.filter((F.col("blocks") > 1) & pivot).select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), "block", "rep", "text", "sketch").filter("`to` <> block")
     shown = shown.select(F.struct("family", F.col("to").alias("block"), F.lit(-1).alias("other")).alias("task"), F.lit(1).alias("side"), "rep", F.col("rep").alias("label"), "text", "sketch")

@@ -95,3 +95,16 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 160)) and 200 not in got
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Texts of more than a megabyte: blocks and pivots are bounded in bytes."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2 << 20)
+    monkeypatch.setattr(minhash, "PIVOT_BYTES", 1 << 20)
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(160_000)]
+    texts = {i: " ".join(w if r.random() > 0.004 * i else f"x{i}" for w in base) for i in range(5)}
+    texts[9] = " ".join(reversed(base))
+    assert min(map(len, texts.values())) > 1 << 20
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    hold(minhash.near_duplicates(docs, k=3, percent=85, bands=32, rows=8).collect(), brute(texts, 3, 85))
