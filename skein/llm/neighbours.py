@@ -287,9 +287,14 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     ship(rows.sparkSession)
     all_rows = written(_vectors(rows, vec_id, embedding), "vectors")
     good = all_rows.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
-    classes = written(good.groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight")), "classes")
+    classes = written(good.groupBy("key").agg(F.min("id").alias("least"), F.count_distinct("id").alias("weight")), "classes")
+    # a class goes by its least id; further classes of an id that is repeated with other vectors by a hash
+    order = F.row_number().over(Window.partitionBy("least").orderBy("key"))
+    classes = classes.withColumn("r", order).select("key", "least", "weight", F.when(F.col("r") == 1, F.col("least")).otherwise(F.xxhash64("key")).alias("rep"), F.col("r"))
+    classes = written(classes, "classes")
+    repeated = not classes.filter("r > 1").isEmpty()
     members = written(good.select("id", "key").join(classes, "key").select("id", "rep", "weight").distinct(), "members")
-    reps = good.join(classes.withColumnRenamed("rep", "id"), ["key", "id"]).select("id", "dim", "unit", "x", "weight").dropDuplicates(["id"])
+    reps = good.join(classes.withColumnRenamed("least", "id"), ["key", "id"]).select(F.col("rep").alias("id"), "dim", "unit", "x", "weight").dropDuplicates(["id"])
     reps = written(reps, "reps")
     n = reps.count()
     plain = reps.withColumn("component", F.col("id"))
@@ -312,6 +317,10 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     links, connect = _exact(found, reps, n, limit)
     edges = connect.union(members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     label = components(edges, "linked")
+    if repeated:  # hashes stand for classes, not for ids: the least id of each component is looked up
+        label = written(label, "label")
+        least = label.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi").groupBy("component").agg(F.min("node").alias("least"))
+        label = label.join(written(least, "least"), "component").select("node", F.col("least").alias("component"))
     mine = members.join(links.withColumnRenamed("u", "rep"), "rep", "left").groupBy("id").agg(F.max(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = all_rows.select("id").join(mine, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")

@@ -65,6 +65,13 @@ def test_odd_vectors(spark):
     assert neighbours.near_vectors(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_vectors(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a), (1, b), (1, c), (2, [1.0, 0.01, 0.0]), (3, [0.01, 1.0, 0.0]), (4, [1.0, 0.02, 0.0]), (5, c), (6, [1.0, 1.0, 1.0]), (1, a)]
+    out = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(out) == len(rows) and got(out) == {1: (2, 1), 2: (2, 1), 3: (1, 1), 4: (2, 1), 5: (1, 1), 6: (0, 6)}
+
+
 def test_links_between_saturated_groups(spark):
     """Each list is full of links to its own group; the links to the other group are in none of them."""
     rng = np.random.default_rng(5)
