@@ -323,24 +323,32 @@ def _dealt(gap: int, path: int) -> int:
 def containers(hashes: list[int], flags: list[int], gaps: list[int] | None, skeleton: set[int], own: set[int]) -> dict[int, list[int]]:
     """Per container of a page: characters of slots, of links among them, of own words, its parent, and whether it is an article."""
     found: dict[int, list[int]] = {ROOT: [0, 0, 0, ROOT, 0]}
-    stack, out = [ROOT], 0
-    head = 0
+    stack, head = [[ROOT, 0, 0, 0]], 0
+
+    def leave() -> None:  # what a container holds counts for the one around it too
+        name, *sums = stack.pop()
+        for j, x in enumerate(sums):
+            found[name][j] += x
+            if stack:
+                stack[-1][j + 1] += x
+
     for i, (h, f) in enumerate(zip(hashes, flags, strict=True)):
         kind = f & KIND
         if kind == 0 and f & HOLDS:
             name = h if gaps is None or h in skeleton else _dealt(gaps[i], h)
             head += f & HEAD != 0
-            found.setdefault(name, [0, 0, 0, stack[-1], f & ARTICLE])
-            stack.append(name)
+            found.setdefault(name, [0, 0, 0, stack[-1][0], f & ARTICLE])
+            stack.append([name, 0, 0, 0])
         elif kind == 1 and f & HOLDS:
             head -= f & HEAD != 0
-            stack.pop()
+            leave()
         elif kind == 2 and not f & SIDE and not head:
-            k = 2 if h in own else 0
-            for name in set(stack):
-                found[name][k] += f >> SHIFT
-                if f & LINK and not k:
-                    found[name][1] += f >> SHIFT
+            mine = h in own
+            stack[-1][3 if mine else 1] += f >> SHIFT
+            if f & LINK and not mine:
+                stack[-1][2] += f >> SHIFT
+    while stack:
+        leave()
     return found
 
 
