@@ -6,9 +6,10 @@
 - `matrix`: the query set, in blocks of a checked size, against all references in Arrow batches; each
   task keeps k rows per query over all its batches. Each block is one pass, written before the next.
 - `pruned`: first the query's own partition bounds its k-th distance, then only partitions whose box
-  is not farther are searched (a box at the very distance is searched: it may hold a tie). Both
-  steps are grouped by partition, block of references and block of queries; no query set is
-  broadcast, nothing but the boxes and counts by partition (256 rows at most).
+  is not farther are searched (a box at the very distance is searched: it may hold a tie). A
+  partition of more rows than a block is cut along its widest dimension into cells with boxes of
+  their own. Both steps are grouped by cell, block of references and block of queries; no query set
+  is broadcast, nothing but boxes and counts by partition (256 rows at most) and by cell (65,536).
 
 `tallies` is `pruned` for what depends on ties: not rows, but how many references stand at each of
 the distances that the k nearest have.
@@ -30,6 +31,7 @@ from skein import schemas as S
 from skein import settings
 from skein.functions import vectors as V
 from skein.shipping import ship
+from skein.sources import index
 from skein.store import stored
 
 #: Query bytes sent to all tasks at once; queries in one distance matrix; references and queries in one block.
@@ -167,24 +169,40 @@ def _search(refs: DataFrame, asked: DataFrame, boxes: DataFrame, k: int, columns
     return found.cogroup(side(right, "q", "query_id")).applyInArrow(lambda x, y: search(x, y), TALLY if tally else OUT)
 
 
-def _probes(asked: DataFrame, limit: DataFrame, boxes: DataFrame, columns: list[str]) -> DataFrame:
-    """The other partitions that each query has to be held against. limit: query_id, worst; queries without one search all."""
-    bound = V.box_bound([F.col(c) for c in columns], [F.col(f"lo{i}") for i in range(len(columns))], [F.col(f"hi{i}") for i in range(len(columns))])
-    near = asked.withColumnRenamed("part_key", "own_key").join(limit, "query_id", "left").crossJoin(F.broadcast(boxes.drop("n", "frauds")))
-    probes = near.filter((F.col("part_key") != F.col("own_key")) & (F.col("worst").isNull() | (bound <= F.col("worst"))))
-    return stored(probes.select("query_id", "part_key", *columns), "probes")
+def _probes(asked: DataFrame, limit: DataFrame, boxes: DataFrame, cells: DataFrame | None, columns: list[str]) -> DataFrame:
+    """The other partitions, or cells of them, that each query has to be held against. limit: query_id, worst; queries without one search all."""
+    width = range(len(columns))
+    bound = V.box_bound([F.col(c) for c in columns], [F.col(f"lo{i}") for i in width], [F.col(f"hi{i}") for i in width])
+    reached = F.col("worst").isNull() | (bound <= F.col("worst"))
+    near = asked.withColumnRenamed("part_key", "own_key").join(limit, "query_id", "left").crossJoin(F.broadcast(boxes.drop("n", "frauds"))).filter(reached)
+    if cells is not None:  # boxes within boxes: only cells of partitions that are near enough are looked at
+        near = near.drop(*(f"{x}{i}" for x in ("lo", "hi") for i in width)).withColumnRenamed("part_key", "outer_key")
+        inner = cells.drop("n", "frauds").withColumn("outer_key", F.floor(F.col("part_key") / index.CELLS).cast("int"))
+        near = near.join(F.broadcast(inner), "outer_key").filter(reached)
+    return stored(near.filter(F.col("part_key") != F.col("own_key")).select("query_id", "part_key", *columns), "probes")
 
 
 def _local(boxes: DataFrame) -> DataFrame:
-    return boxes.sparkSession.createDataFrame(boxes.toArrow())  # 256 rows at most, read several times
+    return boxes.sparkSession.createDataFrame(boxes.toArrow())  # 256 rows, or 65,536 cells, at most; read several times
+
+
+def _cells(refs: DataFrame, asked: DataFrame, boxes: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """References and queries by cell, and the cells' boxes, where a partition has more rows than a block."""
+    if columns != S.Q or boxes.filter(F.col("n") > BLOCK_ROWS).isEmpty():
+        return refs, asked, None
+    cut = stored(index.cuts(refs, boxes, BLOCK_ROWS), "cuts")
+    refs = index.with_cells(refs, cut)
+    return refs, index.with_cells(asked, cut), _local(index.bounds(refs))
 
 
 def pruned(refs: DataFrame, queries: DataFrame, boxes: DataFrame, k: int = S.NEIGHBOURS, columns: list[str] = S.Q) -> DataFrame:
     """boxes: what `index.bounds` gives for refs."""
-    asked, boxes = queries.select("query_id", "part_key", *columns), _local(boxes)
-    own = stored(_search(refs, asked, boxes, k, columns), "own")
+    boxes = _local(boxes)
+    refs, asked, cells = _cells(refs, queries.select("query_id", "part_key", *columns), boxes, columns)
+    sizes = boxes if cells is None else cells
+    own = stored(_search(refs, asked, sizes, k, columns), "own")
     limit = ranked(own, k).filter(F.col("rank") == k).select("query_id", F.col("d").alias("worst"))
-    return ranked(own.union(_search(refs, _probes(asked, limit, boxes, columns), boxes, k, columns)), k)
+    return ranked(own.union(_search(refs, _probes(asked, limit, boxes, cells, columns), sizes, k, columns)), k)
 
 
 def _nearest_tallies(found: DataFrame, k: int) -> DataFrame:
@@ -196,10 +214,12 @@ def _nearest_tallies(found: DataFrame, k: int) -> DataFrame:
 
 def tallies(refs: DataFrame, queries: DataFrame, boxes: DataFrame, k: int = S.NEIGHBOURS, columns: list[str] = S.Q) -> DataFrame:
     """query_id, d, n, frauds, upto: for each distance of the k nearest, how many references stand at it, of these frauds, and n up to it. At most k rows per query, however many references tie."""
-    asked, boxes = queries.select("query_id", "part_key", *columns), _local(boxes)
-    own = stored(_search(refs, asked, boxes, k, columns, tally=True), "own")
+    boxes = _local(boxes)
+    refs, asked, cells = _cells(refs, queries.select("query_id", "part_key", *columns), boxes, columns)
+    sizes = boxes if cells is None else cells
+    own = stored(_search(refs, asked, sizes, k, columns, tally=True), "own")
     limit = _nearest_tallies(own, k).filter(F.col("upto") >= k).select("query_id", F.col("d").alias("worst"))
-    return _nearest_tallies(own.union(_search(refs, _probes(asked, limit, boxes, columns), boxes, k, columns, tally=True)), k)
+    return _nearest_tallies(own.union(_search(refs, _probes(asked, limit, boxes, cells, columns), sizes, k, columns, tally=True)), k)
 
 
 def frauds(queries: DataFrame, found: DataFrame) -> DataFrame:

@@ -14,6 +14,28 @@ def bounds(refs: DataFrame) -> DataFrame:
     return refs.groupBy("part_key").agg(F.count("*").alias("n"), F.sum("label").cast("bigint").alias("frauds"), *(F.min(c).alias(f"lo{i}") for i, c in enumerate(S.Q)), *(F.max(c).alias(f"hi{i}") for i, c in enumerate(S.Q)))
 
 
+#: Cells that a frequent partition is cut into at most.
+CELLS = 256
+
+
+def cuts(refs: DataFrame, boxes: DataFrame, rows: int) -> DataFrame:
+    """part_key, dim, cuts: for partitions of more than so many rows, values of their widest dimension that cut them into cells of about as many. At most 256 rows."""
+    lo, hi = ([F.col(f"{x}{i}") for i in range(len(S.Q))] for x in ("lo", "hi"))
+    wide = boxes.filter(F.col("n") > rows).select("part_key", F.least(F.lit(CELLS), F.ceil(F.col("n") / rows)).cast("int").alias("cells"), V.widest(lo, hi).alias("dim"))
+    values = refs.join(F.broadcast(wide), "part_key").groupBy("part_key", "cells", "dim").agg(F.percentile_approx(_widest_value(), [i / CELLS for i in range(1, CELLS)], 10_000).alias("p"))
+    return values.select("part_key", "dim", F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("cells") - 1), lambda i: F.get("p", F.floor(i * CELLS / F.col("cells")).cast("int") - 1))).alias("cuts"))
+
+
+def _widest_value():
+    return F.get(F.array(*(F.col(c).cast("int") for c in S.Q)), F.col("dim"))
+
+
+def with_cells(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """rows with their part_key made finer: the partition times CELLS, and the cell."""
+    cell = F.coalesce(F.size(F.filter("cuts", lambda c: c <= _widest_value())), F.lit(0))
+    return rows.join(F.broadcast(cut), "part_key", "left").withColumn("part_key", F.col("part_key") * CELLS + F.when(F.col("cuts").isNotNull(), cell).otherwise(0)).drop("dim", "cuts")
+
+
 def quantized(rows: DataFrame, vector: str = "vector", kind: str = "float") -> DataFrame:
     """rows with q0..q13 and part_key in place of an array of features."""
     out = rows.select(*(c for c in rows.columns if c != vector), *(V.quantize(F.col(vector)[i].cast(kind), kind).alias(c) for i, c in enumerate(S.Q)))

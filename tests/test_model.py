@@ -165,6 +165,13 @@ def test_blocks_of_queries_and_references(spark, monkeypatch):
     monkeypatch.setattr(knn, "MOST_BROADCAST", 8 * 15 * 7)
     assert sorted(tuple(x) for x in knn.matrix(refs, queries).collect()) == want
     assert sorted(tuple(x) for x in knn.pruned(refs, queries, index.bounds(refs)).collect()) == want
+    refs = as_table(spark, [(i, 0, vec(r.randrange(-10000, 10001), r.randrange(100))) for i in range(2000)], "ref_id")
+    queries = as_table(spark, [(i, 0, vec(r.randrange(-10000, 10001), 50)) for i in range(30)], "query_id")
+    want = sorted(tuple(x) for x in knn.matrix(refs, queries).collect())
+    boxes = index.bounds(refs)
+    cut = index.cuts(refs, boxes, 64)
+    cells = index.bounds(index.with_cells(refs, cut))
+    assert cut.count() == boxes.filter("n > 64").count() and cells.count() > 25 and cells.agg(F.max("n")).first()[0] < 200
     monkeypatch.setattr(knn, "QUERY_BLOCK", 4)
     assert sorted(tuple(x) for x in knn.pruned(refs, queries, index.bounds(refs)).collect()) == want
     # a query set beyond one broadcast goes to matrix()
