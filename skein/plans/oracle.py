@@ -112,5 +112,5 @@ SQL: dict[str, str] = {
     "precision_diff_counts": f"WITH {TX}, {_vectors()}, {_vectors('y', 'DOUBLE', False)}, g AS (SELECT {' + '.join(f'(CASE WHEN z.q{i} <> y.q{i} THEN 1 ELSE 0 END)' for i in range(DIM))} AS n FROM z JOIN y ON z.id = y.id) SELECT count(*) AS vectors, CAST(sum(n) AS BIGINT) AS diff_components, count(*) FILTER (WHERE n > 0) AS diff_vectors FROM g",
     "dataset_stats": f"{_SCORE} SELECT count(*) AS total, count(*) FILTER (WHERE n >= 3) AS fraud_count, round(CAST(count(*) FILTER (WHERE n >= 3) AS DOUBLE) / count(*), 6) AS fraud_rate, count(*) FILTER (WHERE n < 3) AS legit_count, round(CAST(count(*) FILTER (WHERE n < 3) AS DOUBLE) / count(*), 6) AS legit_rate, round(CAST(count(*) FILTER (WHERE n = 3) AS DOUBLE) / count(*), 6) AS edge_case_rate FROM zc",
     "embedding_knn_vote": f"WITH m AS (SELECT vec_id AS id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, {_EMB} FROM embeddings), d AS (SELECT a.id AS query_id, b.id AS ref_id, b.label, {' + '.join(f'(a.e{i} - b.e{i}) * (a.e{i} - b.e{i})' for i in range(1, 65))} AS d FROM m a, m b WHERE a.id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS r FROM d) SELECT query_id, CAST(sum(label) AS BIGINT) AS votes FROM r WHERE r <= 5 GROUP BY query_id",
-    "stream_score": f"{_SCORE} SELECT query_id, CAST(200 AS BIGINT) AS status, CAST(n AS DOUBLE) / 5 AS fraud_score, n < 3 AS approved FROM zc",
+    "stream_score": f"{_SCORE} SELECT query_id, CAST(CASE WHEN query_id % 350 = 0 THEN 400 ELSE 200 END AS BIGINT) AS status, CASE WHEN query_id % 350 <> 0 THEN CAST(n AS DOUBLE) / 5 END AS fraud_score, CASE WHEN query_id % 350 <> 0 THEN n < 3 END AS approved FROM zc",
 }
