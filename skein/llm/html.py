@@ -72,8 +72,8 @@ HEADINGS, PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split()), frozenset(
 OUT = frozenset("nav footer aside form head button dialog menu search fieldset input label".split())
 #: Words in classes, ids and roles of containers that are not the article.
 OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup sidebar aside widget widgets menu menus nav navbar navigation navigational breadcrumb breadcrumbs footer foot masthead comment comments commentlist disqus replies respond share sharing social related recommended recommendations popup modal overlay login toolbar pagination pager skip search complementary contentinfo advertisements".split())
-#: Within an article element a mark counts only if it consists of those and these.
-SIDE_WORDS = frozenset("area bar block bottom box buttons container content inline links list outer posts section slot stories top unit wrap wrapper".split())
+#: A mark counts only if it consists of those and these.
+SIDE_WORDS = frozenset("area article bar block bottom box buttons col column container content desktop fixed global inline inner item items left links list main mobile outer page panel post posts primary region right row secondary section site slot sticky stories top unit wrap wrapper zone".split())
 HEAD_WORDS = frozenset("header head topbar".split())
 ARTICLE_WORDS = frozenset({"articlebody", "article"})
 #: Elements an opening tag closes, if they are the innermost open block.
@@ -85,8 +85,8 @@ ROOT = 0
 
 
 @lru_cache(4096)
-def _role(tag: str, attrs: str) -> tuple[str, bool, bool, bool, bool]:
-    """The element's role, and whether it is out, out within an article too, a header, an article."""
+def _role(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """The element's role, and whether it is out, a header, an article."""
     marks, hidden = [], False
     for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
         if (name := name.lower()) not in TOLD_BY:
@@ -100,12 +100,10 @@ def _role(tag: str, attrs: str) -> tuple[str, bool, bool, bool, bool]:
             marks += [(name, w) for w in value.split()]
     holds = tag in CONTAINER and tag not in ("html", "body", "article", "main")
     parts = [set(_WORD.findall(w)) for _, w in marks]
-    always = tag in OUT or hidden
-    inner = always or (holds and any(p & OUT_WORDS and p <= OUT_WORDS | SIDE_WORDS for p in parts))
-    out = inner or (holds and any(p & OUT_WORDS for p in parts))
+    out = tag in OUT or hidden or (holds and any(p & OUT_WORDS and p <= OUT_WORDS | SIDE_WORDS for p in parts))
     article = tag == "article" or any(n in ("role", "itemprop") and w in ARTICLE_WORDS for n, w in marks)
     head = tag == "header" or (tag in ("div", "section") and any(p & HEAD_WORDS for p in parts))
-    return ".".join([tag, *sorted(w for _, w in marks if not any(c.isdigit() for c in w))]), out, inner, head, article
+    return ".".join([tag, *sorted(w for _, w in marks if not any(c.isdigit() for c in w))]), out, head, article
 
 
 def _hash(x: bytes) -> int:
@@ -172,7 +170,7 @@ class Page:
                         break
                 add((3, 0, ""))
             attrs = m[3]
-            name, out, inner, head, article = (_role if len(attrs) < MOST_KEPT else _role.__wrapped__)(tag, attrs)
+            name, out, head, article = (_role if len(attrs) < MOST_KEPT else _role.__wrapped__)(tag, attrs)
             own = _path(path, name)
             if tag in RAW:
                 if attrs.endswith("/") and tag in ("svg", "math"):
@@ -191,7 +189,7 @@ class Page:
             if attrs.endswith("/") and tag not in BLOCK:
                 continue
             now = flags & (SIDE | LINK)
-            if inner or (out and not flags & ARTICLE):
+            if out:
                 now |= SIDE
             if tag == "a":
                 now |= LINK

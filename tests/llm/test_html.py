@@ -110,9 +110,10 @@ def test_text_of_the_article_is_kept(spark):
         f"<body><header><p>Site</p></header><h1>Title</h1><div><p>{words(2, 20)}</p></div><p>note</p></body>",
         f"<article><p>{words(3, 9)}</p><div class='ad-slot'>buy</div><section class=comments><p>First!</p></section><form>q</form></article>",
         f"<body><div>{'<div>' * 400}deep</div></body>",
+        f"<body><div class=story><div class='share-price'><p>{words(6, 30)}</p></div><div class='post-share-links'>Tell all</div></div><div class='site-footer'>end</div></body>",
     ]
     rows = spark.createDataFrame([(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
-    assert texts(rows) == {0: "Related work\n\nfind\n\nmore\n\nA share of it", 1: f"T\n\n{words(1, 30)}", 2: "one\n\ntwo two", 3: f"Title\n\n{words(2, 20)}", 4: words(3, 9), 5: "deep"}
+    assert texts(rows) == {0: "Related work\n\nfind\n\nmore\n\nA share of it", 1: f"T\n\n{words(1, 30)}", 2: "one\n\ntwo two", 3: f"Title\n\n{words(2, 20)}", 4: words(3, 9), 5: "deep", 6: words(6, 30)}
 
 
 def test_mirrored_pages_keep_their_words(spark):
