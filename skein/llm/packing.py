@@ -34,9 +34,10 @@ PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 class Complements:
     """Counts of lengths, and an index by sum of the singles, pairs and triples of them.
 
-    Pairs stand in one array, those of a sum side by side, so a sum is looked up by its address. A
-    triple is a length and a pair of what is left. Counts only fall: what is used up at the front of
-    a sum is passed once and for all, by a cursor, so all look-ups together cost what the index has.
+    The pairs of a sum are hashed under it when it is first asked for: the longer lengths of them, in
+    falling order. A triple is a length and a pair of what is left. Counts only fall: what is used up
+    at the front of a sum is passed once and for all, by a cursor, so all look-ups of a sum together
+    cost what it has.
     """
 
     def __init__(self, counts: dict[int, int], size: int):
@@ -44,22 +45,29 @@ class Complements:
         self.size = size
         self.up = sum(1 << k for k in self.left)
         self.lengths = sorted(self.left, reverse=True)
-        own = np.array(self.lengths, dtype=np.int64)
-        first = [np.full(len(b), a) for a in self.lengths if len(b := own[(own <= a) & (own <= size - a)])]
-        second = [b for a in self.lengths if len(b := own[(own <= a) & (own <= size - a)])]
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (first, second))
-        order = np.argsort(a + b, kind="stable")  # within a sum, the most unequal pair first
-        self.a, self.b = a[order].astype(np.int32), b[order].astype(np.int32)
-        ends = np.concatenate(([0], np.cumsum(np.bincount(a + b, minlength=size + 1))))
-        self.at, self.end = ends[:-1].tolist(), ends[1:].tolist()
+        self.own = np.array(self.lengths, dtype=np.int32)
+        self.there = np.zeros(size + 1, dtype=bool)
+        self.there[self.own] = True
+        self.sums: dict[int, np.ndarray] = {}
+        self.at: dict[int, int] = {}
         self.third = [0] * (size + 1)
 
+    def longer(self, total: int) -> np.ndarray:
+        """The longer lengths of the pairs that sum to total."""
+        found = self.sums.get(total)
+        if found is None:
+            a = self.own[(self.own < total) & (2 * self.own >= total)]
+            found = self.sums[total] = a[self.there[a] & self.there[total - a]].astype(np.int16 if self.size < 1 << 15 else np.int32)
+            self.at[total] = 0
+        return found
+
     def take(self, lengths: list[int], n: int) -> None:
         for k in lengths:
             self.left[k] -= n
             if not self.left[k]:
                 del self.left[k]
                 self.up ^= 1 << k
+                self.there[k] = False
 
     def longest(self, most: int) -> int:
         """The longest length up to most, or 0."""
@@ -69,12 +77,13 @@ class Complements:
         return all(self.left.get(k, 0) >= lengths.count(k) for k in lengths)
 
     def pair(self, gap: int, held: list[int]) -> list[int] | None:
-        i, end = self.at[gap], self.end[gap]
-        while i < end and not self.fits([int(self.a[i]), int(self.b[i])]):
+        longer = self.longer(gap)
+        i, end = self.at[gap], len(longer)
+        while i < end and not self.fits([a := int(longer[i]), gap - a]):
             i += 1
         self.at[gap] = i
         for j in range(i, end):  # past the first only what `held` keeps from being taken now
-            found = [int(self.a[j]), int(self.b[j])]
+            found = [a := int(longer[j]), gap - a]
             if self.fits([*held, *found]):
                 return found
         return None
@@ -82,7 +91,7 @@ class Complements:
     def triple(self, gap: int, held: list[int]) -> list[int] | None:
         while self.third[gap] < len(self.lengths):  # used up for good, or with no pair left for the rest
             a = self.lengths[self.third[gap]]
-            if a in self.left and a < gap - 1 and (self.pair(gap - a, []) or self.at[gap - a] < self.end[gap - a]):
+            if a in self.left and a < gap - 1 and self.pair(gap - a, []):
                 break
             self.third[gap] += 1
         for k in range(self.third[gap], len(self.lengths)):
