@@ -283,7 +283,11 @@ def _audit(reps: DataFrame, found: DataFrame, limit: float, most: int) -> tuple[
 
 
 def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", limit: float = 0.95, tables: int = TABLES, neighbours: int = NEIGHBOURS, recall: float = RECALL, audit: int = AUDIT, rounds: int = ROUNDS) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+    """One row per vector: vec_id, n_links, component_id, kept.
+
+    The frame's `audited` is the last audit: the share of audited vectors with links that had all of
+    them in their component, or None if none of them had a link, and how many had.
+    """
     ship(rows.sparkSession)
     all_rows = written(_vectors(rows, vec_id, embedding), "vectors")
     good = all_rows.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
@@ -298,7 +302,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     reps = written(reps, "reps")
     n = reps.count()
     plain = reps.withColumn("component", F.col("id"))
-    graph, k = None, neighbours
+    graph, k, share, held = None, neighbours, None, 0
     for i in range(rounds):
         more = _leaves(plain, n, range(i * tables, (i + 1) * tables) if i == 0 else range(i * tables, i * tables + tables // 2))
         graph = written(_nearest(more if graph is None else graph.select("u", "v", "sim").union(more), k), "graph")
@@ -324,4 +328,6 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     mine = members.join(links.withColumnRenamed("u", "rep"), "rep", "left").groupBy("id").agg(F.max(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = all_rows.select("id").join(mine, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    out = out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    out.audited = share, held
+    return out

@@ -62,7 +62,8 @@ def test_odd_vectors(spark):
     have = got(out)
     assert have[1] == (2, 1) and have[2] == (2, 1) and have[10] == (2, 1)
     assert all(have[i] == (0, i) for i in (3, 4, 5, 6, 7, 8, 9, 11)) and have[None] == (0, None)
-    assert neighbours.near_vectors(df.limit(0)).count() == 0
+    none = neighbours.near_vectors(df.limit(0))
+    assert none.count() == 0 and none.audited == (None, 0)
 
 
 def test_repeated_ids_with_other_vectors(spark):
@@ -113,7 +114,9 @@ def planted(seed=9, dims=48):
 def test_recall_of_planted_links(spark):
     vectors = planted()
     want = brute(vectors)
-    have = got(neighbours.near_vectors(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")).collect())
+    out = neighbours.near_vectors(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"))
+    have = got(out.collect())
+    assert out.audited[0] >= neighbours.RECALL and out.audited[1] > 100
     links = sum(n for n, _ in want.values())
     assert links > 80_000 and all(have[i][0] <= want[i][0] for i in want)
     assert sum(n for n, _ in have.values()) >= 0.98 * links
