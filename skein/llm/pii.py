@@ -138,17 +138,24 @@ def bootstrap(places: DataFrame, docs: DataFrame, text: str, support: int = SUPP
     """The (pattern, value) pairs of unseen identifiers that high-confidence patterns discover.
 
     places: pattern, value, known, one row per place and pattern. A pattern without `support` different
-    values can never reach it, so only the others are counted in the texts. One that never stands
-    around a seed stays: values discovered in a round can lift it in the next.
+    values can never reach it, so only the others are counted in the texts. They are counted first in
+    the texts that can hold an identifier: what stands there too often for its places to be accepted,
+    were all of its values known, can never be, and is not counted in the rest. A pattern that never
+    stands around a seed stays: values discovered in a round can lift it in the next.
     """
     # distinct before counting: a value that is a third of all rows is one edge
     edges = written(places.groupBy("pattern", "value").agg(F.max("known").alias("known"), F.count("*").alias("places")), "edges")
     wide = edges.groupBy("pattern").agg(F.count("*").alias("v"), F.sum("places").alias("places"))
     wide = written(wide.filter(F.col("v") >= support).select("pattern", "places"), "patterns")
-    counted = wide.join(occurrences(docs, text, wide.select("pattern")), "pattern", "left")
+    may = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
+    counted = wide.join(occurrences(docs.filter(may), text, wide.select("pattern")), "pattern", "left").select("pattern", "places", F.coalesce("n", F.lit(0)).alias("n"))
+    counted = written(counted.filter(F.col("places") >= accept * F.col("n")), "occurrences")
+    if not counted.isEmpty():
+        rest = occurrences(docs.filter(~may), text, counted.select("pattern")).withColumnRenamed("n", "more")
+        counted = written(counted.join(rest, "pattern", "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0))), "occurrences")
     # brackets may hide a pattern's words from the count; it is never less than the places
-    counted = written(counted.select("pattern", F.greatest(F.coalesce("n", F.lit(0)), "places").alias("n")), "occurrences")
-    edges = written(edges.join(wide.select("pattern"), "pattern", "left_semi"), "edges")
+    counted = counted.select("pattern", F.greatest("n", "places").alias("n"))
+    edges = written(edges.join(counted.select("pattern"), "pattern", "left_semi"), "edges")
     scores = edges.select("value", F.col("known").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score"))
     patterns, before = None, -1
     for _ in range(most_rounds):
