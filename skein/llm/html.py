@@ -258,9 +258,9 @@ def profiles(read: DataFrame) -> DataFrame:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, mixes, pages = _rows(batch)
-            names, host = np.unique(np.array(hosts, dtype=object), return_inverse=True) if hosts else ([], [])
-            if not len(hosts):
+            if not hosts:
                 continue
+            names, host = np.unique(np.array(hosts, dtype=object), return_inverse=True)
             tokens = [np.r_[0, a] for a, _ in pages]
             page = np.repeat(np.arange(len(pages)), [len(x) for x in tokens])
             token = np.concatenate(tokens)
@@ -287,7 +287,7 @@ def _common(profile: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def skeletons(profile: DataFrame, hosts: DataFrame) -> DataFrame:
-    """host, n, skeleton (hashes in order), common (other hashes, binary): one row per host with a skeleton."""
+    """host, n, skeleton (hashes in order), common and common_words (other hashes, and whether they are words): one row per host with a skeleton."""
     tokens = written(_common(profile, hosts), "common")
     once = tokens.filter("occurs = pages").groupBy("host", "s1", "s2").agg(F.count("*").alias("size"), F.first("pages").alias("pages")).filter(F.col("size") >= MIN_TOKENS)
     best = written(once.groupBy("host").agg(F.max(F.struct((F.col("size") * F.col("pages")).alias("held"), "s1", "s2")).alias("b")).select("host", F.col("b.s1").alias("b1"), F.col("b.s2").alias("b2")), "best")
@@ -423,7 +423,8 @@ def gap_sums(read: DataFrame, named: DataFrame, small: bool) -> DataFrame:
     return out.groupBy("host", "kind", "token").agg(F.max("path").alias("path"), F.max("gap").alias("gap"), F.bool_or("words").alias("words"), *(F.sum(c).alias(c) for c in SUMS), F.min("parent").alias("parent"), F.max("article").alias("article"))
 
 
-TEMPLATE = "host string, region long, own array<long>, menus array<long>, skeleton array<long>, classes array<struct<gap:long,pages:long,tokens:array<long>>>"
+TEMPLATE = "host string, region long, own array<long>, menus array<long>, classes array<struct<gap:long,pages:long,tokens:array<long>>>"
+_TEMPLATE = pa.schema([("host", pa.string()), ("region", pa.int64()), ("own", pa.list_(pa.int64())), ("menus", pa.list_(pa.int64())), ("classes", pa.list_(pa.struct([("gap", pa.int64()), ("pages", pa.int64()), ("tokens", pa.list_(pa.int64()))])))])
 
 
 def templates(sums: DataFrame, named: DataFrame) -> DataFrame:
@@ -463,10 +464,9 @@ def templates(sums: DataFrame, named: DataFrame) -> DataFrame:
                 own += [r["token"] for r in c if r["words"]]
         if found[ROOT][2] > MIRRORED * found[ROOT][0]:
             own = None
-        return pa.Table.from_pylist([{"host": rows[0]["host"], "region": region, "own": own, "menus": menus, "classes": classes}], schema=pa.schema([("host", pa.string()), ("region", pa.int64()), ("own", pa.list_(pa.int64())), ("menus", pa.list_(pa.int64())), ("classes", pa.list_(pa.struct([("gap", pa.int64()), ("pages", pa.int64()), ("tokens", pa.list_(pa.int64()))])))]))
+        return pa.Table.from_pylist([{"host": rows[0]["host"], "region": region, "own": own, "menus": menus, "classes": classes}], schema=_TEMPLATE)
 
-    short = TEMPLATE.replace(" skeleton array<long>,", "")
-    return enough.groupBy("host").applyInArrow(lambda t: build(t), short).join(named.select("host", "skeleton"), "host")
+    return enough.groupBy("host").applyInArrow(lambda t: build(t), TEMPLATE).join(named.select("host", "skeleton"), "host")
 
 
 class Template:
