@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from skein.llm.common import claim
+from skein.llm.common import claim, raw
 
 VOCABULARY = "word_bpe_49k.json"
 #: The rules of a vocabulary file under which words are taken one by one.
@@ -25,8 +28,10 @@ NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Rep
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPLIT = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-#: Words and stems a worker keeps: some 200 bytes each.
-MOST_WORDS, MOST_STEMS = 800_000, 400_000
+#: Words a worker keeps, some 200 bytes each, and half as many stems.
+MOST_WORDS = 800_000
+#: Bytes of text whose words are told apart at once.
+STRETCH_BYTES = 8 << 20
 
 
 def byte_letters() -> list[str]:
@@ -73,7 +78,7 @@ class WordIds(dict):
     def stem(self, word: str) -> bytes:
         found = self.stems.get(word)
         if found is None:
-            if len(self.stems) >= MOST_STEMS:
+            if 2 * len(self.stems) >= self.most:
                 self.stems.clear()
             letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
             found = b"".join([self.four[x.id] for x in self.model.tokenize(letters)])
@@ -99,13 +104,45 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split())) if text else b""
 
 
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids. The words of some megabytes of text are told apart by the column's own hash table; only different ones are looked up here."""
+        if not self.by_word:
+            yield from map(self.encode, raw(texts))
+            return
+        for at, n in stretches(texts):
+            split = pc.ascii_split_whitespace(pc.fill_null(texts.slice(at, n).cast(pa.large_string()), ""))
+            words = split.flatten().dictionary_encode()
+            ids = [self[w] if w else b"" for w in words.dictionary.cast(pa.large_binary()).to_pylist()]
+            size, which = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2, words.indices.to_numpy()
+            count = size[which]
+            ends = np.concatenate(([0], np.cumsum(count)))
+            # the place of each id of each word among the ids of all different words
+            place = np.repeat(((np.cumsum(size) - size)[which] - ends[:-1]).astype(np.int32), count)
+            place += np.arange(len(place), dtype=np.int32)
+            out = np.frombuffer(b"".join(ids), "<u4")[place]
+            bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                yield out[s:e].tobytes()
+
+
+def stretches(texts: pa.Array, most: int = STRETCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, rows) of about so many bytes together; a longer text is one by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, upto - at
+        at = upto
+
+
 @lru_cache(2)
 def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int = MOST_WORDS) -> WordIds:
     found = _word_ids(path)
+    found.most = most
     claim("tokens", found, found.stems)
     return found
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import new_path, raw, ship, written
+from skein.llm.common import new_path, ship, written
 from skein.llm.tokens import vocabulary, word_ids
 
 MAGIC = b"SKWM0001"
@@ -43,7 +43,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) -> bytes
     for bit in range(bits - 1, -1, -1):
         one = (a & (1 << bit)).astype(bool)
         packed = np.packbits(one, bitorder="little")
-        a = np.concatenate((a[~one], a[one]))
+        a = np.concatenate((a.compress(~one), a.compress(one)))
         z = n - int(np.count_nonzero(one))
         zeros.append(z)
         step = BLOCK_BITS // 8
@@ -164,8 +164,8 @@ class WaveletShard:
             one = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n, bitorder="little").view(bool)
             z, bit = int(self.zeros[level]), self.bits - 1 - level
             above = np.empty_like(a)
-            above[~one] = a[:z]
-            above[one] = a[z:] | a.dtype.type(1 << bit)
+            above[np.flatnonzero(~one)] = a[:z]  # places, not masks: bits without a pattern make masks slow
+            above[np.flatnonzero(one)] = a[z:] | a.dtype.type(1 << bit)
             a = above
         return a
 
@@ -204,8 +204,8 @@ def write_token_shards(docs: DataFrame, to: str, doc_id: str = "doc_id", text: s
             return row
 
         for batch in batches:
-            for i, x in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                ids = words.encode(x) + end
+            for i, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1)), strict=True):
+                ids += end
                 held.append(ids)
                 doc_ids.append(i)
                 sizes.append(len(ids) // 4)

@@ -6,12 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from skein.llm import bpe, packing, queries, wavelet
+from skein.llm import bpe, packing, queries, tokens, wavelet
 from skein.llm.tokens import vocabulary, word_ids
 
 from .conftest import ODD_TEXTS
@@ -46,6 +47,17 @@ def test_words_and_ranks_equal_the_library(text):
     assert own.decode(want).decode() == lib.decode(np.frombuffer(want, "<u4").tolist(), skip_special_tokens=False)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), letters), max_size=12), st.integers(1, 60))
+def test_columns_of_texts_have_the_ids_of_each(texts, most):
+    words, column = word_ids(vocabulary()), pa.array(["cut off", *texts], pa.string())[1:]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokens.stretches, "__defaults__", (most,))
+        assert list(words.encode_all(column)) == [words.encode(t.encode()) if t else b"" for t in texts]
+        runs = list(tokens.stretches(column))
+    assert sum(n for _, n in runs) == len(texts) and all(n > 0 for _, n in runs)
+
+
 def test_other_vocabularies_go_through_the_library_or_are_refused():
     path = vocabulary("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
