@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import ship, written
-from skein.llm.tokens import vocabulary, word_ids
+from skein.llm.tokens import MOST_WORDS, vocabulary, word_ids
 
 SIZE = 4096
 #: Pieces of one length that one task ranks.
@@ -140,14 +140,14 @@ def plan(counts: dict[int, int], size: int = SIZE) -> tuple[np.ndarray, int]:
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5), sequences
 
 
-def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, size: int = SIZE, path: str | None = None) -> DataFrame:
-    """One row per piece of a document: its ids and the end id, cut after each `size` of them."""
+def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, size: int = SIZE, path: str | None = None, most_words: int = MOST_WORDS) -> DataFrame:
+    """One row per piece of a document: its ids and the end id, cut after each `size` of them. A worker remembers most_words words."""
     ship(docs.sparkSession)
     path = path or vocabulary()
 
     @F.arrow_udf(PIECES)
     def cut(texts: pa.Array) -> pa.Array:
-        words, end = word_ids(path), int(end_id).to_bytes(4, "little")
+        words, end = word_ids(path, most_words), int(end_id).to_bytes(4, "little")
         ends, rows = [0], []
         for x in texts.cast(pa.large_binary()).to_pylist():
             ids = words.encode(x) + end
@@ -186,5 +186,6 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "_p.sequence_id", "_p.offset")
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, size: int = SIZE, path: str | None = None) -> DataFrame:
-    return pack(pieces_of(docs, doc_id, text, end_id, size, path), size)
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, size: int = SIZE, path: str | None = None, most_words: int = MOST_WORDS) -> DataFrame:
+    """The documents' pieces, packed."""
+    return pack(pieces_of(docs, doc_id, text, end_id, size, path, most_words), size)
