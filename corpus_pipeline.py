@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.llm import langid, minhash, packing, quality, secrets
 from skein.llm.common import scratch, written
 
+#: Words that a worker remembers in the last stage: the stages before it leave it less memory than op3 has.
+WORDS = 300_000
 #: The stages' rows depend on a trained model and a tokenizer, which SQL can't express.
 ORACLE_SQL = None
 
@@ -45,7 +47,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, most_words=WORDS)
 
 
 STAGES = [
