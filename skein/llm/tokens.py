@@ -2,7 +2,7 @@
 
 Under the normaliser and split pattern below nothing joins what white space parts, so a text's ids
 are those of its ASCII-white-space words, one after the other. A worker keeps the ids of words it
-has met. Words of Latin-1 letters with at most a stop or comma after them, whose normal form is
+has met. Words of Latin-1 letters with ASCII marks but no apostrophe after them, whose normal form is
 their lower case, go to the library's BPE model as the one or two pieces that the pattern makes of
 them; all others through its whole encode(). The file is held against these rules when it is read:
 under any other rules each text goes through encode() as a whole.
@@ -27,8 +27,9 @@ VOCABULARY = "word_bpe_49k.json"
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPLIT = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-#: Words a worker keeps, some 200 bytes each, and half as many stems.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
+#: Stems a worker keeps, some 200 bytes each, and half as many words.
 MOST_WORDS = 800_000
 #: Bytes of text whose words are told apart at once.
 STRETCH_BYTES = 8 << 20
@@ -53,12 +54,22 @@ def by_word(normalizer: dict | None, split: dict | None, after: object, specials
     return normalizer == NORMALIZER and split == SPLIT and after is None and not any(c.isspace() for x in specials for c in x)
 
 
+def _letters_and_marks(word: bytes) -> tuple[bytes, bytes] | None:
+    """The letters in lower case, and the marks after them, if word is nothing else."""
+    core = word.rstrip(_MARKS)
+    if core.isalpha() or not core:  # of bytes: ASCII letters
+        return core.lower(), word[len(core) :]
+    if _LATIN.fullmatch(text := core.decode()):
+        return text.lower().encode(), word[len(core) :]
+    return None
+
+
 def _rules(part: object) -> dict | None:
     return json.loads(part.__getstate__()) if part is not None else None
 
 
 class WordIds(dict):
-    """Word (bytes) to its ids as little-endian unsigned 32-bit integers; forgets all at `most` words."""
+    """Word (bytes) to its ids as little-endian unsigned 32-bit integers; forgets all at half of `most` words."""
 
     def __init__(self, path: str, most: int = MOST_WORDS):
         from tokenizers import Tokenizer
@@ -69,31 +80,31 @@ class WordIds(dict):
         self.lib.no_padding()
         self.model, self.most, self.stems = self.lib.model, most, {}
         added = self.lib.get_added_tokens_decoder().values()
-        self.by_word = not any(x.normalized or x.lstrip or x.rstrip for x in added) and by_word(_rules(self.lib.normalizer), _rules(self.lib.pre_tokenizer), self.lib.post_processor, [x.content for x in added])
+        # a special that such a word could hold would be cut out of it
+        self.by_word = not any(x.normalized or x.lstrip or x.rstrip or _letters_and_marks(x.content.encode()) for x in added) and by_word(_rules(self.lib.normalizer), _rules(self.lib.pre_tokenizer), self.lib.post_processor, [x.content for x in added])
         self.four = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size())]
 
     def library(self, word: str) -> bytes:
         return np.array(self.lib.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def stem(self, word: str) -> bytes:
+    def stem(self, word: bytes) -> bytes:
         found = self.stems.get(word)
         if found is None:
-            if 2 * len(self.stems) >= self.most:
+            if len(self.stems) >= self.most:
                 self.stems.clear()
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            letters = word.decode("latin-1") if word.isascii() else word.decode("latin-1").translate(_LETTERS)
             found = b"".join([self.four[x.id] for x in self.model.tokenize(letters)])
             self.stems[word] = found
         return found
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
+        if 2 * len(self) >= self.most:  # fewer than stems: a word of a known stem is soon made again
             self.clear()
-        text = word.decode()
-        m = _PLAIN.fullmatch(text)
-        if m:  # letters alone are one piece, and a mark after them another
-            found = self.stem(m[1].lower()) + (self.stem(m[2]) if m[2] else b"")
+        plain = _letters_and_marks(word)
+        if plain and plain[0]:  # letters alone are one piece, and marks after them another
+            found = self.stem(plain[0]) + self.stem(plain[1]) if plain[1] else self.stem(plain[0])
         else:
-            found = self.library(text)
+            found = self.library(word.decode())
         self[word] = found
         return found
 
@@ -112,7 +123,7 @@ class WordIds(dict):
         for at, n in stretches(texts):
             split = pc.ascii_split_whitespace(pc.fill_null(texts.slice(at, n).cast(pa.large_string()), ""))
             words = split.flatten().dictionary_encode()
-            ids = [self[w] if w else b"" for w in words.dictionary.cast(pa.large_binary()).to_pylist()]
+            ids = [self[w] if w else b"" for w in _bytes(words.dictionary)]
             size, which = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2, words.indices.to_numpy()
             count = size[which]
             ends = np.concatenate(([0], np.cumsum(count)))
@@ -125,6 +136,15 @@ class WordIds(dict):
                 yield out[s:e].tobytes()
 
 
+def _bytes(words: pa.Array) -> list[bytes]:
+    """A large_string array without nulls as bytes, cut out of its buffer: to_pylist() makes an object of its own of each first."""
+    if not len(words):
+        return []
+    at = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset).tolist()
+    data = memoryview(words.buffers()[2] or b"")[at[0] : at[-1]].tobytes()
+    return [data[s - at[0] : e - at[0]] for s, e in zip(at[:-1], at[1:], strict=True)]
+
+
 def stretches(texts: pa.Array, most: int = STRETCH_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows (first, rows) of about so many bytes together; a longer text is one by itself."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -58,6 +58,19 @@ def test_columns_of_texts_have_the_ids_of_each(texts, most):
     assert sum(n for _, n in runs) == len(texts) and all(n > 0 for _, n in runs)
 
 
+def test_letters_and_marks_are_taken_without_the_whole_library(lib, monkeypatch):
+    marks = [m for m in map(chr, range(0x21, 0x7F)) if not m.isalnum() and m != "'"]
+    plain = [f"{w}{m}{n}" for w in ("enbezuver", "Été", "A") for m in marks for n in ("", "*", "_|>")]
+    words, asked = tokens.WordIds(vocabulary()), []
+    monkeypatch.setattr(words, "library", lambda w: (asked.append(w), as_bytes(ids_of(lib, w)))[1])
+    other = ["***", "it's", "a.b", "x1", "ǅ!", "a<|endoftext|>", "1", "don't%%%", "e\u0301###"]
+    for text in (" ".join(plain), " ".join(other)):
+        for got in (words.encode(text.encode()), *words.encode_all(pa.array([None, text])[1:])):
+            assert got == as_bytes(ids_of(lib, text))
+    assert sorted(set(asked)) == sorted(other)
+    assert list(words.encode_all(pa.array([None, ""]))) == [b"", b""]
+
+
 def test_other_vocabularies_go_through_the_library_or_are_refused():
     path = vocabulary("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
